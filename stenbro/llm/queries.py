@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stenbro.llm import tokens
+from stenbro.llm import leaks, tokens
 from stenbro.session import table, widen
 
 QUERIES: dict = {}
@@ -43,3 +43,21 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p10_pieces")
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oversized(spark, sf_dir, True).select("doc_id", F.inline("pieces"))
+
+
+def _leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_texts(spark, sf_dir), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaked(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+@query("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked: in how many documents, and the largest share of the passage's words in one."""
+    words = F.size(F.expr("regexp_extract_all(passage, '\\\\w+', 0)"))
+    items = table(spark, sf_dir, "eval_items").select("item_id", "suite", words.alias("n_words"))
+    counted = _leaked(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("matched").alias("most_words"))
+    return counted.join(items, "item_id").select("item_id", "suite", "n_docs", "most_words", "n_words")
