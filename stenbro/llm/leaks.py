@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,9 +242,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str, text: str, it
 
     def one_pass(block: list) -> DataFrame:
         content = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block], share))
+        name = uuid.uuid4().hex
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            name = content.id
             if name not in _MODELS:
                 _MODELS.clear()
                 _MODELS[name] = Items(*content.value)
