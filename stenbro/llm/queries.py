@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stenbro.llm import leaks, tokens
+from stenbro.llm import garbled, leaks, tokens
 from stenbro.session import table, widen
 
 QUERIES: dict = {}
@@ -61,3 +61,21 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items").select("item_id", "suite", words.alias("n_words"))
     counted = _leaked(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("matched").alias("most_words"))
     return counted.join(items, "item_id").select("item_id", "suite", "n_docs", "most_words", "n_words")
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = widen(table(spark, sf_dir, "site_analysis").select("analysis_id", "basic_seo.title_text", "basic_seo.meta_description"), "analysis_id")
+    towns = table(spark, sf_dir, "postal_codes")
+    found = garbled.repaired_values(pages, "analysis_id", {f: F.col(f) for f in ("title_text", "meta_description")})
+    return found.unionByName(garbled.repaired_values(towns, "line_no", {"bynavn": F.col("Bynavn")}, names=("bynavn",)))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select("field", "rec_id").distinct()
+
+
+@query("p7_repaired")
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled values with their repair; `cost_after` above 0: not, or not wholly, repairable."""
+    return _repaired(spark, sf_dir)
