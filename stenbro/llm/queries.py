@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stenbro.llm import garbled, leaks, tokens
+from stenbro.llm import garbled, leaks, residue, tokens
 from stenbro.session import table, widen
 
 QUERIES: dict = {}
@@ -79,3 +79,31 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled values with their repair; `cost_after` above 0: not, or not wholly, repairable."""
     return _repaired(spark, sf_dir)
+
+
+PAGE_FIELDS = {"title_text": "basic_seo.title_text", "meta_description": "basic_seo.meta_description", "render_status": "technical_seo.render_status"}
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    return table(spark, sf_dir, "site_analysis"), {f: F.col(c) for f, c in PAGE_FIELDS.items()}
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, fields = _pages(spark, sf_dir)
+    return residue.unusable(pages, "analysis_id", "site_host", fields).select(F.col("rec_id").alias("analysis_id"), "field").distinct()
+
+
+@query("p6_messages")
+def p6_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal masked messages that aren't content, with their rows and hosts."""
+    pages, fields = _pages(spark, sf_dir)
+    return residue.messages(pages, "analysis_id", "site_host", fields)[1].where("kind is not null").drop("form_hash")
+
+
+@query("p6_kept")
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of which no field is unusable."""
+    pages, fields = _pages(spark, sf_dir)
+    bad = residue.unusable(pages, "analysis_id", "site_host", fields).select(F.col("rec_id").alias("analysis_id"))
+    return pages.join(bad, "analysis_id", "left_anti").select("analysis_id", "url", "site_host")
