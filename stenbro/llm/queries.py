@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stenbro.llm import garbled, leaks, residue, tokens
+from stenbro.llm import canonical, garbled, leaks, residue, tokens
 from stenbro.session import table, widen
 
 QUERIES: dict = {}
@@ -107,3 +107,27 @@ def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, fields = _pages(spark, sf_dir)
     bad = residue.unusable(pages, "analysis_id", "site_host", fields).select(F.col("rec_id").alias("analysis_id"))
     return pages.join(bad, "analysis_id", "left_anti").select("analysis_id", "url", "site_host")
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and towns, each with the entry of its list."""
+    persons = widen(table(spark, sf_dir, "profiles").select("profile_id", "headline", F.col("location.city").alias("city")), "profile_id")
+    candidates = widen(table(spark, sf_dir, "contact_candidate").select("candidate_id", "title"), "candidate_id")
+    titles = candidates.select(F.lit("candidate_title").alias("src"), F.col("candidate_id").alias("rec_id"), F.col("title").alias("value"))
+    titles = titles.unionByName(persons.select(F.lit("profile_headline").alias("src"), F.col("profile_id").alias("rec_id"), F.col("headline").alias("value")))
+    towns = persons.select(F.lit("profile_city").alias("src"), F.col("profile_id").alias("rec_id"), F.col("city").alias("value"))
+    jobs = table(spark, sf_dir, "title_register")
+    places = table(spark, sf_dir, "city_register")
+    named = canonical.mapped_values(titles, jobs, "StillingsBetegnelseKode", ["StillingsBetegnelseNavn", "Alias1", "Alias2"], "title")
+    return named.unionByName(canonical.mapped_values(towns, places, "city_id", ["by_navn"], "town"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("src", "rec_id", "ref_id").distinct()
+
+
+@query("p2_unmatched")
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand for no entry, with their number of rows."""
+    return _mapped(spark, sf_dir).where(F.col("ref_id") == canonical.NONE).groupBy("src", "value").agg(F.count("*").alias("n_rows"))
