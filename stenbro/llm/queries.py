@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stenbro.llm import canonical, garbled, leaks, residue, tokens
+from stenbro.llm import canonical, entities, garbled, leaks, residue, tokens
 from stenbro.session import table, widen
 
 QUERIES: dict = {}
@@ -131,3 +131,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that stand for no entry, with their number of rows."""
     return _mapped(spark, sf_dir).where(F.col("ref_id") == canonical.NONE).groupBy("src", "value").agg(F.count("*").alias("n_rows"))
+
+
+NAME = "Vrvirksomhed_virksomhedMetadata_nyesteNavn_navn"
+PLACE = "Vrvirksomhed_virksomhedMetadata_nyesteBeliggenhedsadresse_"
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached pages and profiles with the register firm that they belong to."""
+    firm = entities.firms(table(spark, sf_dir, "company"), "Vrvirksomhed_cvrNummer", NAME, PLACE + "postdistrikt", "Hjemmeside")
+    records = entities.pages(table(spark, sf_dir, "url_cache")).unionByName(entities.profiles(table(spark, sf_dir, "profiles")))
+    return entities.matched_entities(records, firm)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).select("cvr", "src", "rec_id").distinct()
+
+
+@query("p3_confidence")
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match with its rule and the rule's confidence."""
+    return _matched(spark, sf_dir)
