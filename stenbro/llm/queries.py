@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stenbro.llm import canonical, entities, garbled, leaks, residue, tokens
-from stenbro.session import table, widen
+from stenbro.llm import canonical, entities, garbled, leaks, residue, tokens, variants
+from stenbro.session import checkpointed, table, widen
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every match with its rule and the rule's confidence."""
     return _matched(spark, sf_dir)
+
+
+def _entity_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    company = table(spark, sf_dir, "company")
+    rows = variants.firm_records(company, "row_id", "Vrvirksomhed_cvrNummer", NAME, "Telefon", "Email", PLACE + "vejnavn", PLACE + "husnummerFra", PLACE + "postnummer")
+    firm = checkpointed(entities.firms(company, "Vrvirksomhed_cvrNummer", NAME, PLACE + "postdistrikt", "Hjemmeside"))
+    people = variants.person_records(table(spark, sf_dir, "profiles"), table(spark, sf_dir, "contact_candidate"), firm, entities.generic_words(firm))
+    return variants.entities_of(rows, "firm"), variants.entities_of(checkpointed(people), "person")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firms, people = _entity_members(spark, sf_dir)
+    return variants.variant_pairs(firms).unionByName(variants.variant_pairs(people)).distinct()
+
+
+@query("p4_members")
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every named record with the entity that it is attributed to."""
+    firms, people = _entity_members(spark, sf_dir)
+    return firms.unionByName(people)
