@@ -159,8 +159,9 @@ def _entity_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     company = table(spark, sf_dir, "company")
     rows = variants.firm_records(company, "row_id", "Vrvirksomhed_cvrNummer", NAME, "Telefon", "Email", PLACE + "vejnavn", PLACE + "husnummerFra", PLACE + "postnummer")
     firm = checkpointed(entities.firms(company, "Vrvirksomhed_cvrNummer", NAME, PLACE + "postdistrikt", "Hjemmeside"))
-    people = variants.person_records(table(spark, sf_dir, "profiles"), table(spark, sf_dir, "contact_candidate"), firm, entities.generic_words(firm))
-    return variants.entities_of(rows, "firm"), variants.entities_of(checkpointed(people), "person")
+    generic = entities.generic_words(firm)
+    people = variants.person_records(table(spark, sf_dir, "profiles"), table(spark, sf_dir, "contact_candidate"), firm, generic)
+    return variants.entities_of(rows, "firm", frozenset(generic)), variants.entities_of(checkpointed(people), "person")
 
 
 @query("p4_found")
