@@ -38,7 +38,7 @@ def predicate(c: Column, kind: str, **args) -> Column:
         "lte": lambda: number <= args["threshold"],
         "range": lambda: reduce(
             lambda a, b: a & b,
-            [number >= args["min"]] * (args.get("min") is not None) + [number <= args["max"]] * (args.get("max") is not None) or [F.lit(True)],
+            [number >= lo for lo in [args.get("min")] if lo is not None] + [number <= hi for hi in [args.get("max")] if hi is not None] or [F.lit(True)],
         ),
         "present": lambda: c.isNotNull() & (F.coalesce(text, F.lit("")) != ""),
         "true_if_present": lambda: c.isNotNull(),
