@@ -58,7 +58,7 @@ both("JOI-08", "contact_candidate", "company", """select candidate_id from conta
     lambda c, k: c.select("candidate_id", F.lower(F.trim("name")).alias("n")).join(k.select(F.lower(F.trim("Direktørnavn")).alias("n")), "n", "left_semi").select("candidate_id")
 )
 both("JOI-12", "documents", "city_register", f"""with d as (select doc_id, unnest({WORDS_SQL.format('text')}) t from documents where length(text) < 300) select doc_id, count(*) as n from d where t not in (select unnest({WORDS_SQL.format('by_navn')}) from city_register) group by 1""")(
-    lambda d, c: d.where(F.length("text") < 300).select("doc_id", F.explode(tokens(F.col("text"))).alias("t")).join(c.select(F.explode(tokens(F.col("by_navn"))).alias("t")), "t", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+    lambda d, c: d.select("doc_id", F.explode(tokens(F.col("text"))).alias("t")).join(F.broadcast(c.select(F.explode(tokens(F.col("by_navn"))).alias("t")).distinct()), "t", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
 )
 both("JOI-13", "profiles", "contact_candidate", "select profile_id from profiles p where fullname is not null and not exists (select 1 from contact_candidate c where c.name = p.fullname)")(
     lambda p, c: p.where("fullname is not null").join(c.select(F.col("name").alias("fullname")), "fullname", "left_anti").select("profile_id")
