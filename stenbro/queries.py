@@ -34,8 +34,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.split_packed(table(spark, sf_dir, "company"), "row_id", CONTACT_FIELDS)
 
 
-def _occurred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(table(spark, sf_dir, "site_analysis"), table(spark, sf_dir, "analysis_raw"))
+def _occurred(spark: SparkSession, sf_dir: str, above: bool = False) -> DataFrame:
+    return nested.shred(table(spark, sf_dir, "site_analysis"), table(spark, sf_dir, "analysis_raw"), above)
 
 
 @query("p5_found")
@@ -46,9 +46,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p5_objects")
 def p5_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.objects(_occurred(spark, sf_dir))
+    return nested.objects(_occurred(spark, sf_dir, above=True))
 
 
 @query("p5_bridge")
 def p5_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.bridge(_occurred(spark, sf_dir))
+    return nested.bridge(_occurred(spark, sf_dir, above=True))

@@ -1,8 +1,12 @@
 """Catalogue queries over all of their rows, against brute force on fixtures."""
 
+import json
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from stenbro.operators import nested
 
 
 def saved(spark, path, **tables):
@@ -23,3 +27,51 @@ def test_joi_12_takes_documents_of_any_length(spark, tmp_path):
     stop = {t for x in towns for t in words(x)}
     want = {k: n for k, v in texts.items() if (n := sum(t not in stop for t in words(v or "")))}
     assert {r.doc_id: r.n for r in entry.queries()["JOI-12"](spark, sf).collect()} == want
+
+
+def shredded(spark, payloads):
+    raw = spark.createDataFrame(list(enumerate(payloads)), "analysis_id long, payload string")
+    parts = nested.json_parts(raw, "analysis_id", "payload")
+    occurred = nested.occurrences(parts, "analysis_id", nested.json_broken(F.col("broken")), nested.json_links(F.col("discarded")), nested.json_forms(F.col("forms")), nested.json_above())
+    return occurred.collect()
+
+
+def test_p5_forms_that_differ_in_any_member_differ(spark):
+    form = {"action": "/f", "method": "post", "input_count": 2, "required_pct": 50.0, "has_email": True, "has_honeypot": False, "is_newsletter": False, "fields": []}
+    forms = [form, dict(reversed(form.items()))] + [form | x for x in ({"required_pct": 25.0}, {"has_email": False}, {"has_honeypot": True}, {"is_newsletter": True}, {"fields": None})]
+    rows = shredded(spark, [json.dumps({"conversion": {"forms_meta": {"forms": forms}}})])
+    ids = [r.hash for r in sorted((r for r in rows if r.child == "form"), key=lambda r: r.ordinal)]
+    assert ids[0] == ids[1] and len(set(ids)) == 6
+
+
+def test_p5_hashes_up_to_the_branches(spark):
+    tech = {"status_code": 200, "broken_links_list": ["u", None, "v"]}
+    conv = {"cta_score": 3, "emails_found": ["a@b.dk", "c@d.dk"], "trust_signals_found": ["mark"], "form_field_counts": [2], "phone_numbers_found": [], "forms_meta": {"form_count": 1, "forms": [None, {"action": "/f", "fields": ["n"]}]}}
+    other = json.loads(json.dumps(conv))
+    other["forms_meta"]["forms"][1]["fields"] = ["m"]
+    docs = [(tech, conv), (tech | {"status_code": 404}, json.loads(json.dumps(conv))), (tech, other), (tech, conv | {"phone_numbers_found": None})]
+    rows = shredded(spark, [json.dumps({"technical_seo": t, "conversion": c}) for t, c in docs])
+    of = {(r.analysis_id, r.child): r for r in rows}
+    ids = lambda child: [of[i, child].hash for i in range(4)]
+    t, c, m = ids("technical_seo"), ids("conversion"), ids("forms_meta")
+    assert t[0] == t[2] == t[3] != t[1]
+    assert c[0] == c[1] and len({c[0], c[2], c[3]}) == 3
+    assert m[0] == m[1] == m[3] != m[2]
+    assert of[0, "forms_meta"].parent_hash == c[0] and of[0, "form"].parent_hash == m[0] and of[0, "form_field"].parent_hash == of[0, "form"].hash
+    assert of[0, "form_field"].parent_ordinal == of[0, "form"].ordinal == 2
+    assert sorted((r.child, r.ordinal, r.item) for r in rows if r.analysis_id == 0 and r.parent_hash == c[0] and r.item) == [
+        ("email", 1, "a@b.dk"), ("email", 2, "c@d.dk"), ("form_field_count", 1, "2"), ("trust_signal", 1, "mark")
+    ]
+    assert '"200"' in of[0, "technical_seo"].body and all(r.parent_hash == t[0] for r in rows if r.analysis_id == 0 and r.child == "broken_link")
+
+
+def test_p5_typed_and_captured_branches_have_one_identity(spark):
+    conv = {"cta_score": 3, "has_ga4": True, "emails_found": ["a@b.dk"], "forms_meta": {"form_count": 1, "forms": [{"action": "/f", "required_pct": 50.0, "fields": [{"name": "n", "type": "text", "required": True}]}]}}
+    tech = {"status_code": 200, "response_time_ms": 31.0, "broken_links_list": ["u"], "discarded_links": [{"href": "/a", "reason": "x"}]}
+    typed = spark.read.parquet("/root/testdata/sf0.001/site_analysis.parquet")
+    kinds = {name: typed.schema[name].dataType.simpleString() for name in ("technical_seo", "conversion")}
+    one = spark.range(1).select(F.lit(9).alias("analysis_id"), F.from_json(F.lit(json.dumps(tech)), kinds["technical_seo"]).alias("technical_seo"), F.from_json(F.lit(json.dumps(conv)), kinds["conversion"]).alias("conversion"))
+    a = nested.occurrences(one, "analysis_id", *nested.typed_branches(one), nested.typed_above(one)).collect()
+    b = shredded(spark, [json.dumps({"technical_seo": tech, "conversion": conv})])
+    assert len(a) == 8
+    assert sorted((r.child, r.hash, r.parent_hash or "") for r in a) == sorted((r.child, r.hash, r.parent_hash or "") for r in b)
