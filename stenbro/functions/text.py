@@ -117,3 +117,73 @@ def redacted(c: Column) -> Column:
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole days between, floored as by a time difference (not by calendar dates)."""
     return F.floor((F.unix_timestamp(later) - F.unix_timestamp(earlier)) / 86400).cast("bigint")
+
+
+#: (pattern, replacement) of secrets in log lines and texts: keys, tokens, authorisation headers, credentials in addresses.
+SECRETS = (
+    (r"(?i)(?U)\bkey=AIza[0-9A-Za-z\-_]{20,100}", "key=****"),
+    (r"(?i)key%3DAIza[0-9A-Za-z\-_]{20,100}", "key%3D****"),
+    (r"AIza[0-9A-Za-z\-_]{20,100}", "AIza****"),
+    (r"(?i)(?U)([?&])(api[_-]?key|x-api-key|access[_-]?key|token|access_token|signature)=([^&\s]+)", "$1$2=****"),
+    (r"(?i)(?U)Authorization:\s*Bearer\s+[A-Za-z0-9\-\._~\+\/]+=*", "Authorization: Bearer ****"),
+    (r"(?i)(?U)Authorization:\s*Basic\s+[A-Za-z0-9\+\/=]+", "Authorization: Basic ****"),
+    (r"(?i)(?U)://([^:@/\s]+):([^@/\s]+)@", "://$1:****@"),
+)
+
+
+def sanitised(c: Column) -> Column:
+    """Secrets masked, then e-mail addresses replaced with a mark; in this order a password isn't taken for a mailbox."""
+    for pattern, mask in SECRETS:
+        c = F.regexp_replace(c, pattern, mask)
+    return F.regexp_replace(c, r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL REDACTED]")
+
+
+PARKED_HASHES = (
+    "0e6926b1e4e9bf8f26cf03f7d560b87c6edb743736df27bc19d976329a4d4d25",
+    "9f1a41985bf2a2e64ce0dc4f44f6d90f692b29239c8804b1ca4b98fca6be7e2a",
+    "77e80d7c4f19e4b0c6eabf4ef98d5ee05bf0879c2f6f392a6bfab4e0c79d0a3f",
+)
+
+
+def fingerprints(text: Column, url: Column) -> dict[str, Column]:
+    """12 digits of the SHA-1 of the first 512 characters, the SHA-256 of 4,096 and whether it is a parked page's, the MD5 of the address."""
+    page = F.sha2(F.substring(text, 1, 4096), 256)
+    return {"fp": F.substring(F.sha1(F.substring(F.coalesce(text, F.lit("")), 1, 512)), 1, 12), "sha": page, "parked": page.isin(*PARKED_HASHES), "file_key": F.md5(url)}
+
+
+CORE_STOPWORDS = tuple("aps a/s ks k/s ps p/s ivs holding invest investment group grupp gruppen service services company co firma solutions consult entreprise enterprise consulting partner partners".split())
+
+
+def brand_tokens(name: Column) -> Column:
+    """Tokens of a firm's name in a-z and digits: three characters or more, no numbers, no legal forms or common words."""
+
+    def norm(t: Column) -> Column:
+        t = F.lower(t)
+        for a, b in (("æ", "ae"), ("ø", "oe"), ("å", "aa"), ("é", "e"), ("ö", "o"), ("ä", "a")):
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return F.regexp_replace(t, "[^a-z0-9]", "")
+
+    return F.filter(F.transform(F.split(name, r"(?U)\W+"), norm), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(*CORE_STOPWORDS))
+
+
+KEYWORD = "[a-zæøå]{4,}"
+STOPWORDS = tuple("og i på for der det den til er som med af en et at this that with from about your our you we the and".split())
+CONVERSION = tuple("køb bestil kontakt pris tilbud gratis levering garanti buy order contact price offer free delivery warranty".split())
+
+
+def keyword_sample(text: Column) -> Column:
+    return F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 200_000)
+
+
+def keyword_score(sample: Column, keywords: Column) -> Column:
+    """Mean over the keywords of 0, .8, 1, .9, .7 by their count (0, to 3, to 6, to 10, more); 0.1 more, to 1 at most, with a word that sells.
+
+    `sample` is `keyword_sample` of a text, in a projection of its own, else it is made again for each keyword.
+    """
+
+    def one(k: Column) -> Column:
+        n = (F.length(sample) - F.length(F.replace(sample, k, F.lit("")))) / F.length(k)
+        return F.when(n == 0, 0.0).when(n <= 3, 0.8).when(n <= 6, 1.0).when(n <= 10, 0.9).otherwise(0.7)
+
+    mean = F.when(F.size(keywords) > 0, F.bround(F.aggregate(keywords, F.lit(0.0), lambda a, k: a + one(k)) / F.size(keywords), 3)).otherwise(0.0)
+    return F.when(sample.rlike("|".join(CONVERSION)), F.least(F.lit(1.0), mean + 0.1)).otherwise(mean)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stenbro.functions import text as X
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order (which must be total for a defined result)."""
@@ -36,6 +38,25 @@ def document_frequency(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(F.col(key), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def frequent_tokens(df: DataFrame, key: str, tokens: Column, share: float = 0.02, top: int = 40, least: int = 2) -> DataFrame:
+    """(token, df) of tokens in a share of all rows or among the top, and in `least` rows; equal ones by first key, then token."""
+    counted = df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.min("_k").alias("_k"))
+    whole = df.agg(F.count("*").alias("_n"))
+    common = counted.crossJoin(F.broadcast(whole)).where(F.col("df") / F.col("_n") >= share).select("token", "df")
+    first = counted.orderBy(F.desc("df"), "_k", "token").limit(top).select("token", "df")
+    return common.unionByName(first).where(F.col("df") >= least).distinct()
+
+
+def keyword_scores(df: DataFrame, key: str, site: str, text: str, top: int = 10) -> DataFrame:
+    """(key, score) of each row's text against the most frequent words of its site; equally frequent ones by word."""
+    rows = df.select(key, F.coalesce(site, F.lit("")).alias("_s"), F.col(text).alias("_t"))
+    words = rows.select("_s", F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(X.KEYWORD), F.lit(0))).alias("w")).where(~F.col("w").isin(*X.STOPWORDS))
+    best = top_per(words.groupBy("_s", "w").agg(F.count("*").alias("n")), ["_s"], [F.desc("n"), F.col("w")], top)
+    listed = best.groupBy("_s").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("_k"))
+    samples = rows.select(key, "_s", X.keyword_sample(F.col("_t")).alias("_t"))
+    return samples.join(listed, "_s", "left").select(key, X.keyword_score(F.col("_t"), F.col("_k")).alias("score"))
+
+
 def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
     """Nested structs as columns with joined paths; lists stay lists."""
     out: list[Column] = []

@@ -78,7 +78,7 @@ on("AGG-03", "company", f"select count(*) as n, count(*) filter (where Hjemmesid
 on("AGG-04", "contact_candidate", "select source, dom_distance, count(*) as n from contact_candidate group by grouping sets ((source), (dom_distance))")(
     lambda d: d.groupingSets([[F.col("source")], [F.col("dom_distance")]], "source", "dom_distance").agg(F.count("*").alias("n"))
 )
-on("AGG-05", "company", f"""select token, df from (select token, count(*) as df from (select distinct row_id, unnest({WORDS_SQL.format(f'"{NAME}"')}) as token from company) group by 1) where df >= 2""")(
+on("token_df", "company", f"""select token, df from (select token, count(*) as df from (select distinct row_id, unnest({WORDS_SQL.format(f'"{NAME}"')}) as token from company) group by 1) where df >= 2""")(
     lambda d: R.document_frequency(d, "row_id", tokens(F.col(NAME))).where("df >= 2")
 )
 on("AGG-06", "site_analysis", f"""select site_host, token, n from (select *, row_number() over (partition by site_host order by n desc, token) r from (select site_host, token, sum(w) as n from (select site_host, unnest({WORDS_SQL.format('basic_seo.title_text')}) as token, 3 as w from site_analysis union all select site_host, unnest({WORDS_SQL.format('basic_seo.meta_description')}) as token, 2 as w from site_analysis) group by all)) where r <= 10""")(
@@ -171,12 +171,12 @@ on("TXT-17", "contact_candidate", "select candidate_id, e as email, lower(split_
 column("TXT-18", "company", "row_id", "kind", lambda: F.when(F.contains(F.col("Telefon"), F.lit("@")), "email").when(F.length(X.phone_digits(F.col("Telefon"))) >= 8, "phone").otherwise("other"), "case when contains(Telefon,'@') then 'email' when length(regexp_replace(Telefon,'[^0-9]','','g')) >= 8 then 'phone' else 'other' end")
 column("TXT-19", "company", "row_id", "e164", lambda: X.phone_e164(F.col("Telefon")), "case when length(regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','')) = 8 then '+45' || regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','') when length(regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','')) between 9 and 15 then '+' || regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','') end")
 column("TXT-20", "company", "row_id", "last8", lambda: X.phone_key(F.col("Telefon")), "right(regexp_replace(Telefon,'[^0-9]','','g'), 8)")
-column("TXT-25", "documents", "doc_id", "n", lambda: X.count_of(F.lower("text"), "service"), "((length(lower(text)) - length(replace(lower(text),'service',''))) / 7)::int")
+column("count_service", "documents", "doc_id", "n", lambda: X.count_of(F.lower("text"), "service"), "((length(lower(text)) - length(replace(lower(text),'service',''))) / 7)::int")
 column("TXT-27", "documents", "doc_id", "words", lambda: F.size(F.filter(F.split(F.trim("text"), "[ \\n\\t\\r]+"), lambda t: t != "")), "len(list_filter(regexp_split_to_array(trim(text), '[ \\n\\t\\r]+'), lambda x: x <> ''))", lambda: F.col("text").isNotNull(), "text is not null")
 column("TXT-28", "documents", "doc_id", "plain", lambda: F.regexp_replace("text", "<[^<>]*>", ""), "regexp_replace(text, '<[^<>]*>', '', 'g')")
 column("TXT-31", "company", "row_id", "first_director", lambda: F.trim(F.split(X.filled(F.col("Direktørnavn")), "[;,]")[0]), f"""case when "Direktørnavn" is not null and not {BLANK_SQL.format('"Direktørnavn"')} then trim(regexp_split_to_array("Direktørnavn", '[;,]')[1]) end""")
-column("TXT-35", "documents", "doc_id", "t", lambda: X.redacted(F.col("text")), "regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')")
-column("TXT-39", "documents", "doc_id", "h", lambda: F.md5("text"), "md5(text)")
+column("emails_redacted", "documents", "doc_id", "t", lambda: X.redacted(F.col("text")), "regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')")
+column("text_md5", "documents", "doc_id", "h", lambda: F.md5("text"), "md5(text)")
 column("URL-01", "site_analysis", "analysis_id", "u", lambda: X.normal_url(F.col("url")), f"case when {HOST_SQL.format('url')} = '' then null else 'https://' || {HOST_SQL.format('url')} || regexp_replace({PATH_SQL.format('url')}, '/+$', '') end")
 column("URL-04", "contact_candidate", "candidate_id", "h", lambda: X.host(F.col("url")), HOST_SQL.format("url"))
 column("URL-06", "contact_candidate", "candidate_id", "u", lambda: X.without_tracking(F.col("url")), f"""regexp_extract(url, '^([^?#]*)', 1) || case when len(list_filter(string_split({QUERY_SQL.format('url')}, '&'), lambda p: p <> '' and split_part(p,'=',1) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref'))) > 0 then '?' || array_to_string(list_filter(string_split({QUERY_SQL.format('url')}, '&'), lambda p: p <> '' and split_part(p,'=',1) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref')), '&') else '' end""")
@@ -192,9 +192,15 @@ column("MTH-07", "site_analysis", "analysis_id", "cta", lambda: F.least(F.col("c
 column("ARR-01", "site_analysis", "analysis_id", "most", lambda: F.array_max("conversion.form_field_counts"), "list_max(conversion.form_field_counts)")
 column("ARR-02", "contact_candidate", "candidate_id", "joined", lambda: F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct("emails")), "; "), F.lit("")), F.lit("N/A")), "coalesce(nullif(array_to_string(list_sort(list_distinct(emails)), '; '), ''), 'N/A')")
 on("ARR-03", "contact_candidate", "select candidate_id, unnest(map_keys(hints)) as k, unnest(map_values(hints)) as v from contact_candidate")(lambda d: d.select("candidate_id", F.explode("hints").alias("k", "v")))
-column("JSN-06", "analysis_raw", "analysis_id", "method", lambda: F.coalesce(F.get_json_object("payload", "$.analysis.fetch_method"), F.get_json_object("payload", "$.fetch_method")), "coalesce(payload->>'$.analysis.fetch_method', payload->>'$.fetch_method')", lambda: F.try_parse_json("payload").isNotNull(), "payload is not null and json_valid(payload)")
+column("fetch_method", "analysis_raw", "analysis_id", "method", lambda: F.coalesce(F.get_json_object("payload", "$.analysis.fetch_method"), F.get_json_object("payload", "$.fetch_method")), "coalesce(payload->>'$.analysis.fetch_method', payload->>'$.fetch_method')", lambda: F.try_parse_json("payload").isNotNull(), "payload is not null and json_valid(payload)")
 on("STR-01", "events", "select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by all")(lambda d: stream.windowed_counts(d, "ts", "event_type"))
-on("STR-02", "events", "select user_id, event_type from (select distinct user_id, event_type from events)")(lambda d: stream.without_repeats(d.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").select("user_id", "event_type"))
-both("EXT-11", "contact_candidate", "profiles", "select site_host, count(*) as n, count(distinct name) as names from contact_candidate where name is not null group by 1")(
+on("user_events_once", "events", "select user_id, event_type from (select distinct user_id, event_type from events)")(lambda d: stream.without_repeats(d.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").select("user_id", "event_type"))
+both("names_per_site", "contact_candidate", "profiles", "select site_host, count(*) as n, count(distinct name) as names from contact_candidate where name is not null group by 1")(
     lambda c, _: c.where("name is not null").groupBy("site_host").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 )
+
+# --- without SQL: held against the same in plain Python -------------------------------------------------------------
+query("AGG-05")(lambda spark, sf_dir: R.frequent_tokens(table(spark, sf_dir, "company"), "row_id", X.brand_tokens(F.col(NAME))))
+query("TXT-25")(lambda spark, sf_dir: R.keyword_scores(table(spark, sf_dir, "documents"), "doc_id", "site_host", "text"))
+query("TXT-35")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", X.sanitised(F.col("text")).alias("t")))
+query("TXT-39")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in X.fingerprints(F.col("text"), F.col("url")).items()]))

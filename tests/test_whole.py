@@ -1,12 +1,15 @@
 """Catalogue queries over all of their rows, against brute force on fixtures."""
 
+import hashlib
 import json
 import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stenbro.functions import text
 from stenbro.operators import nested
+from stenbro.plans.catalogue import NAME as X_NAME
 
 
 def saved(spark, path, **tables):
@@ -16,8 +19,8 @@ def saved(spark, path, **tables):
     return str(path)
 
 
-def words(text):
-    return [t for t in re.split("[^a-zæøå0-9]+", text.lower()) if t]
+def words(value):
+    return [t for t in re.split("[^a-zæøå0-9]+", value.lower()) if t]
 
 
 def test_joi_12_takes_documents_of_any_length(spark, tmp_path):
@@ -75,3 +78,56 @@ def test_p5_typed_and_captured_branches_have_one_identity(spark):
     b = shredded(spark, [json.dumps({"technical_seo": tech, "conversion": conv})])
     assert len(a) == 8
     assert sorted((r.child, r.hash, r.parent_hash or "") for r in a) == sorted((r.child, r.hash, r.parent_hash or "") for r in b)
+
+
+def test_agg_05_applies_share_top_and_least(spark, tmp_path):
+    names = [f"Bygger{i % 70} Murer {i} Blå-Bær ApS" for i in range(200)] + [f"Nr{i:03} en{'x' * (i % 5)}" for i in range(200)] + [None, "Solo Service"]
+    rows = [(i, n) for i, n in enumerate(names)]
+    sf = saved(spark, tmp_path, company=(rows, f"row_id long, {X_NAME} string"))
+    df, first = {}, {}
+    for i, n in rows:
+        for t in {re.sub("[^a-z0-9]", "", w.lower().replace("å", "aa").replace("æ", "ae")) for w in re.split(r"\W+", n or "")}:
+            if len(t) >= 3 and not t.isdigit() and t not in text.CORE_STOPWORDS:
+                df[t] = df.get(t, 0) + 1
+                first.setdefault(t, i)
+    order = sorted(df, key=lambda t: (-df[t], first[t], t))
+    want = {t: df[t] for i, t in enumerate(order) if (df[t] / len(rows) >= 0.02 or i < 40) and df[t] >= 2}
+    assert 40 <= len(want) < len([t for t in df if df[t] >= 2])
+    assert {r.token: r.df for r in entry.queries()["AGG-05"](spark, sf).collect()} == want
+
+
+def test_txt_25_scores_the_keywords_of_a_site(spark, tmp_path):
+    texts = [("a", "tømrer " * 12 + "murer maler maler maler maler"), ("a", "murer og pris"), ("b", "Ingen her med gulv"), ("b", None), (None, "glas glas"), ("c", "")]
+    sf = saved(spark, tmp_path, documents=([(i, h, t) for i, (h, t) in enumerate(texts)], "doc_id long, site_host string, text string"))
+    grade = lambda c: 0.0 if c == 0 else 0.8 if c <= 3 else 1.0 if c <= 6 else 0.9 if c <= 10 else 0.7
+    want = {}
+    for i, (h, t) in enumerate(texts):
+        found = [w for k, x in texts if k == h for w in re.findall("[a-zæøå]{4,}", (x or "").lower()) if w not in text.STOPWORDS]
+        keys = sorted(set(found), key=lambda w: (-found.count(w), w))[:10]
+        low = (t or "").lower()
+        score = round(sum(grade(low.count(k)) for k in keys) / len(keys), 3) if low and keys else 0.0
+        want[i] = min(1.0, score + 0.1) if any(w in low for w in text.CONVERSION) else score
+    assert {r.doc_id: r.score for r in entry.queries()["TXT-25"](spark, sf).collect()} == want
+
+
+def test_txt_35_masks_secrets_and_addresses(spark, tmp_path):
+    key = "AIza" + "x" * 30
+    cases = {
+        f"a key={key} b": "a key=**** b", f"KEY%3D{key}": "key%3D****", f"({key})": "(AIza****)", "http://x.dk/?token=abc&q=1": "http://x.dk/?token=****&q=1",
+        "authorization: bearer abc.d==": "Authorization: Bearer ****", "Authorization:Basic QWxh==": "Authorization: Basic ****",
+        "ftp://me:word@x.dk/a": "ftp://me:****@x.dk/a", "Skriv til A.b@x.dk.": "Skriv til [EMAIL REDACTED].", "uden": "uden", None: None,
+    }
+    sf = saved(spark, tmp_path, documents=(list(enumerate(cases)), "doc_id long, text string"))
+    assert [r.t for r in entry.queries()["TXT-35"](spark, sf).orderBy("doc_id").collect()] == list(cases.values())
+
+
+def test_txt_39_has_all_fingerprints(spark, tmp_path):
+    texts = ["kort", "æ" * 600, "å" * 5000, "", None]
+    sf = saved(spark, tmp_path, documents=([(i, t, f"u{i}") for i, t in enumerate(texts)], "doc_id long, text string, url string"))
+    h = lambda kind, t: hashlib.new(kind, t.encode()).hexdigest()
+    want = [(i, h("sha1", (t or "")[:512])[:12], None if t is None else h("sha256", t[:4096]), None if t is None else False, h("md5", f"u{i}")) for i, t in enumerate(texts)]
+    assert [tuple(r) for r in entry.queries()["TXT-39"](spark, sf).orderBy("doc_id").collect()] == want
+
+
+def test_no_query_bears_the_id_of_another_job():
+    assert not {"EXT-11", "JSN-06", "STR-02"} & set(entry.queries())
