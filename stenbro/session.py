@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +20,7 @@ def local_session(cpus: int | str = 8, app: str = "stenbro") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.stenbro.spread", str(cpus))
         .getOrCreate()
     )
 
@@ -30,23 +31,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread the rows of an input with fewer partitions than the cluster has cores.
+    """Spread rows over `spark.stenbro.spread` partitions by a hash of `keys` before per-row work that is heavy in Python.
 
-    A file that holds a single row group is one task however small the split size is; the rows of such inputs are
-    hashed on `keys` before per-row work that is heavy in Python. Inputs with enough splits are left as they are, so
-    a large table is never shuffled by this.
+    Off where the setting is absent, whatever the input's size: the scan's own splits are the tasks then. A caller whose
+    tables are single row groups, as in a bench on one machine, sets it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    parts = df.sparkSession.conf.get("spark.stenbro.spread", None)
+    return df.repartition(int(parts), *keys) if parts else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that `spark.checkpoint.dir` names.
+
+    Only a session of one machine may leave it unset and gets a folder of its own; on a cluster that is an error, as its
+    executors share no such folder.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="stenbro-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
-    `spark.checkpoint.dir` (a folder that all executors share) is used as it is set; only where it is unset, as in
-    tests on one machine, a folder of our own is taken.
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared folder; it is deleted when the session's JVM ends.
+
+    Against a checkpoint it is compressed, read by column, and keeps its size as a statistic for the joins that follow.
     """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stenbro-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.environ.get("STENBRO_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="stenbro-"))
+    folder = shared_folder(df.sparkSession)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
