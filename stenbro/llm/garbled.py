@@ -41,7 +41,6 @@ ROUND_TRIPS = [
     ("mac_roman", "cp1252"),
     ("sloppy", "mac_roman"),
 ]
-LAYERS = 4
 #: What a reading as a single-byte encoding may bring in.
 EXPECTED = set("æøåÆØÅéÉüöäÜÖÄ–—·’“”…«»½²³°§ ")
 
@@ -138,7 +137,7 @@ def repair(text: str, name: bool = False) -> tuple[str, float, float, str]:
     """(repaired text, cost before, cost after, readings taken); the text itself where no reading helps."""
     before = now = cost(text, name)
     steps: list[str] = []
-    while now and len(steps) < LAYERS:
+    while now:  # each layer taken off lowers the cost, so this ends
         read, c, step = _best(text, now, name)
         if not step:
             parts = re.split("([ \n\t]+)", text)
