@@ -98,7 +98,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal masked messages that aren't content, with their rows and hosts."""
     pages, fields = _pages(spark, sf_dir)
-    return residue.messages(pages, "analysis_id", "site_host", fields)[1].where("kind is not null").drop("form_hash")
+    return residue.messages(pages, "analysis_id", "site_host", fields)[1].select("fields", "example", "n_rows", "n_hosts", F.coalesce("kind", "status_kind").alias("kind"))
 
 
 @query("p6_kept")
