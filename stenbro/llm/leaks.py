@@ -1,27 +1,32 @@
 """Evaluation passages in a training corpus: CGK embedding, bit-sampling LSH over windows, exact edit verification.
 
-The items are a stated query set; they go to every task in blocks of bounded size, and all documents pass every block.
-In a task, texts become numbers of the words that the items use (0: none of them). Then, block by block:
-
-1. A stretch that reproduces a third of an item holds, in some window of twice that length, at least as many words
-   that items use; places outside all such windows are passed over. This loses nothing.
-2. Windows of WINDOW words at every remaining place of the texts and every place of the items are embedded by the CGK
-   random walk: step j writes the word under the pointer, and moves the pointer on if a random bit of (j, word) says
-   so. Windows at a small edit distance then agree in most steps.
-3. Of each embedding SAMPLE steps are hashed; windows that agree in them meet. This is repeated REPEATS times with
-   fresh bits. A window without an edit is always met; one with an edit agrees in about four fifths of the steps, so
-   it is met with a probability of about 1 - (1 - 0.8^8)^8 = 0.77, and a stretch holds a window at every word.
-4. Meetings of one text and item are gathered by diagonal (two overlapping grids, so no stretch falls between). Cells
-   whose windows cover COVERED of the words that are asked for are verified. Against the alignment of every text and
-   item that share a tenth of the item's word triples, nothing was missed on the test data (README).
-5. Verification is a local alignment of words (match +1, other word, added word or missing word -1) of the whole item
-   against the region; the words matched in the best stretch must be at least a third of the item's.
+The items are a stated query set; they go to every task in blocks of a bounded number of words, and all documents pass
+every block. In a task, texts become numbers of the words that the items use (0: none of them). Then, block by block:
+
+1. Each item has a window of its own size: half of the words that it is asked to be reproduced with (share x its
+   length), rounded down to one of WINDOWS, so a reproduced stretch holds whole windows at many places. Items of one
+   window size are worked off together, from single words up.
+2. A stretch that reproduces an item holds, in some window of twice the asked length, at least as many words that items
+   use; places outside all such windows are passed over, which loses nothing. So are windows with more than a third of
+   foreign words, which the next steps would hardly ever meet.
+3. Windows at every remaining place of the texts and every place of the items are embedded by the CGK random walk: step
+   j writes the word under the pointer, and moves the pointer on if a random bit of (j, word) says so. Windows at a small
+   edit distance then agree in most steps.
+4. Of each embedding SAMPLE steps are hashed; windows that agree in them meet. This is repeated REPEATS times with fresh
+   bits. A window without an edit is always met, one with an edit in four of five cases or so.
+5. Meetings of one text and item are gathered by diagonal (two overlapping grids, so no stretch falls between). Cells
+   whose met windows cover COVERED of the asked words are verified. `recall_by_edits` in the tests measures what this
+   finds against the alignment of everything, by the rate of edited words.
+6. Verification: a region must share a common subsequence of the asked length with the item (an upper bound of what an
+   alignment can match, word-parallel), and then passes a local alignment of words (match +1, other word, added
+   word or missing word -1) of the whole item against the region; the words matched in the best stretch must be at least the asked ones.
 
 Words are compared in lower case without markup, entities, hyphens at line ends, apostrophes and Danish letters'
-spellings (ae, oe, aa).
+spellings (ae, oe, aa, or the bare letter).
 
-Defined cases: NULL and empty texts or passages give no rows; items without a word give none; repeated items and
-documents each keep their own rows.
+Defined cases: NULL and empty texts or passages give no rows; items without a word give none; an item of up to three
+words is asked for one word, so any text with one of its words has it; repeated items and documents each keep their own
+rows.
 """
 
 from __future__ import annotations
@@ -38,15 +43,16 @@ from pyspark.sql import functions as F
 
 from stenbro.llm.tokens import blocks
 
-WINDOW, SAMPLE, REPEATS = 12, 8, 8
-EDITS = 4
+#: Window sizes. Above the last one a wider window costs more and finds no more.
+WINDOWS = (1, 2, 3, 6, 12, 24)
+SAMPLE, REPEATS = 8, 8
 GRID = 64
 #: Share of the asked words that the windows met must cover.
-COVERED = 0.8
-#: Items that are sent to the tasks at once; more items are worked off in several passes.
-ITEM_BLOCK = 5_000
+COVERED = 0.65
+#: Words of the items that are sent to the tasks at once; more are worked off in several passes.
+BLOCK_WORDS = 500_000
 WORD = re.compile(r"\w+")
-TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _MODELS: dict = {}
 
 
@@ -57,7 +63,8 @@ def words_of(text: str) -> list[str]:
     if "<" in text:
         text = TAG.sub("", text)
     text = text.lower().replace("-\n", "").replace("­", "").replace("'", "").replace("’", "")
-    return WORD.findall(text.replace("æ", "ae").replace("ø", "oe").replace("å", "aa"))
+    text = text.replace("æ", "a").replace("ø", "o").replace("å", "a")
+    return WORD.findall(text.replace("ae", "a").replace("oe", "o").replace("aa", "a"))
 
 
 class _Known(dict):
@@ -65,31 +72,21 @@ class _Known(dict):
         return 0
 
 
-class Items:
-    """The items of one block with their LSH tables."""
-
-    def __init__(self, ids: list[int], passages: list[str | None], share: float, seed: int = 7):
-        self.ids = np.array(ids, np.int64)
-        lists = [words_of(p) if p else [] for p in passages]
-        self.vocabulary = _Known()
-        for own in lists:
-            for w in own:
-                if w not in self.vocabulary:
-                    self.vocabulary[w] = len(self.vocabulary) + 1
-        self.lengths = np.array([len(own) for own in lists], np.int64)
-        self.asked = np.ceil(self.lengths * share).astype(np.int64)
-        self.words = [np.array([self.vocabulary[w] for w in own], np.int32) for own in lists]
-        self.least = int(self.asked[self.asked > 0].min()) if (self.asked > 0).any() else 0
-        rng = np.random.default_rng(seed)
-        n = len(self.vocabulary) + 2  # 0: a word of no item; the last: behind the window
-        self.steps = 2 * WINDOW
-        self.moves = rng.integers(0, 1 << self.steps, (REPEATS, n), np.int64)
-        self.codes = rng.integers(1, 1 << 62, (REPEATS, n), np.int64)
-        self.sampled = [set(rng.choice(self.steps, SAMPLE, replace=False).tolist()) for _ in range(REPEATS)]
-        flat = np.concatenate([np.concatenate([w, np.zeros(WINDOW, np.int32)]) for w in self.words] or [np.zeros(0, np.int32)])
-        item = np.repeat(np.arange(len(lists)), self.lengths + WINDOW)
-        place = np.concatenate([np.arange(n + WINDOW) for n in self.lengths] or [np.zeros(0, np.int64)])
-        starts = np.flatnonzero(place <= self.lengths[item] - WINDOW) if len(lists) else np.zeros(0, np.int64)
+class Level:
+    """LSH tables of the items of one window size."""
+
+    def __init__(self, window: int, which: np.ndarray, words: list[np.ndarray], asked: np.ndarray, n_words: int, rng: np.random.Generator):
+        self.window, self.which, self.least = window, which, int(asked[which].min())
+        self.steps = 2 * window
+        size = min(SAMPLE, self.steps)
+        self.draws = rng.integers(1, 1 << 62, (REPEATS, n_words + 2), np.int64)  # 0: a word of no item; the last: behind the window
+        self.turns = rng.integers(1, 1 << 62, (REPEATS, self.steps), np.int64) | 1
+        self.sampled = [np.sort(rng.choice(self.steps, size, replace=False)).tolist() for _ in range(REPEATS)]
+        lengths = np.array([len(words[i]) for i in which], np.int64)
+        flat = np.concatenate([np.concatenate([words[i], np.zeros(window, np.int32)]) for i in which])
+        item = np.repeat(which, lengths + window)
+        place = np.concatenate([np.arange(n + window) for n in lengths])
+        starts = np.flatnonzero(place <= np.repeat(lengths, lengths + window) - window)
         self.tables = []
         for r in range(REPEATS):
             keys = self.embed(flat, starts, r)
@@ -100,21 +97,51 @@ class Items:
 
     def embed(self, words: np.ndarray, starts: np.ndarray, repeat: int) -> np.ndarray:
         """The hash of the sampled steps of the CGK embedding of the windows at `starts`."""
-        moves, codes, sampled = self.moves[repeat], self.codes[repeat], self.sampled[repeat]
-        behind = len(codes) - 1
+        draws, turns, sampled = self.draws[repeat], self.turns[repeat], set(self.sampled[repeat])
+        behind = len(draws) - 1
         at = np.zeros(len(starts), np.int64)
         keys = np.zeros(len(starts), np.int64)
-        for j in range(self.steps):
-            inside = at < WINDOW
-            word = np.where(inside, words[np.minimum(starts + at, len(words) - 1)], behind)
+        for j in range(self.sampled[repeat][-1] + 1):
+            drawn = draws[np.where(at < self.window, words[np.minimum(starts + at, len(words) - 1)], behind)]
             if j in sampled:
-                keys = (keys ^ codes[word]) * np.int64(-7046029254386353131)
+                keys = (keys ^ drawn) * np.int64(-7046029254386353131)
                 keys ^= keys >> np.int64(29)
-            at += (moves[word] >> j) & 1
+            at += (drawn * turns[j] >> np.int64(40)) & 1
         return keys
 
 
-def _dense(words: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
+class Items:
+    """The items of one block."""
+
+    def __init__(self, ids: list[int], passages: list[str | None], share: float, seed: int = 7):
+        self.ids = np.array(ids, np.int64)
+        lists = [words_of(p) if p else [] for p in passages]
+        self.vocabulary = _Known()
+        for own in lists:
+            for w in own:
+                if w not in self.vocabulary:
+                    self.vocabulary[w] = len(self.vocabulary) + 1
+        self.lengths = np.array([len(own) for own in lists], np.int64)
+        self.asked = np.ceil(self.lengths * share).astype(np.int64)
+        self.words = [np.array([self.vocabulary[w] for w in own], np.int32) for own in lists]
+        self._masks: dict[int, dict[int, int]] = {}
+        rng = np.random.default_rng(seed)
+        sizes = np.array(WINDOWS)[np.searchsorted(WINDOWS, np.maximum(1, self.asked // 2), "right") - 1]
+        self.levels = [
+            Level(w, which, self.words, self.asked, len(self.vocabulary), rng) for w in WINDOWS if len(which := np.flatnonzero((sizes == w) & (self.asked > 0)))
+        ]
+
+
+    def masks(self, item: int) -> dict[int, int]:
+        """The places of an item's words as bits."""
+        if item not in self._masks:
+            own = self._masks[item] = {}
+            for k, w in enumerate(self.words[item].tolist()):
+                own[w] = own.get(w, 0) | 1 << k
+        return self._masks[item]
+
+
+def _dense(words: np.ndarray, bounds: np.ndarray, least: int, window: int) -> np.ndarray:
     """Places where a window may begin that takes part in a reproduced stretch."""
     known = np.concatenate([[0], np.cumsum(words > 0)])
     n = len(words)
@@ -125,18 +152,18 @@ def _dense(words: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
     first = np.flatnonzero(wide)
     np.add.at(mark, first, 1)
     np.add.at(mark, np.minimum(first + 2 * least, ends[first]), -1)
-    near = np.minimum(here + WINDOW, ends)
-    return np.flatnonzero((np.cumsum(mark)[:n] > 0) & (known[near] - known[:-1] >= WINDOW - EDITS) & (near - here == WINDOW))
+    near = np.minimum(here + window, ends)
+    return np.flatnonzero((np.cumsum(mark)[:n] > 0) & (known[near] - known[:-1] >= window - window // 3) & (near - here == window))
 
 
-def _cells(items: Items, words: np.ndarray, starts: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+def _cells(items: Items, level: Level, words: np.ndarray, starts: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """(text, item, first, behind) of the regions to verify, in places of `words`."""
-    found, longest = [], int(items.lengths.max()) + 1
+    found, longest, window = [], int(items.lengths.max()) + 1, level.window
     for r in range(REPEATS):
-        keys, first, item, place = items.tables[r]
-        own = items.embed(words, starts, r)
-        k = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        hit = np.flatnonzero(keys[k] == own) if len(keys) else np.zeros(0, np.int64)
+        keys, first, item, place = level.tables[r]
+        own = level.embed(words, starts, r)
+        k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hit = np.flatnonzero(keys[k] == own)
         k = k[hit]
         n = first[k + 1] - first[k]
         at = np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(k) else np.zeros(0, np.int64)
@@ -154,22 +181,36 @@ def _cells(items: Items, words: np.ndarray, starts: np.ndarray, text_of: np.ndar
         c, p, d = cell[:, order], place[order], diagonal[order]
         begins = np.concatenate([[True], (np.diff(c, axis=1) != 0).any(axis=0)])
         group = np.flatnonzero(begins)
-        step = np.append(np.diff(p), WINDOW)
-        step[np.append(group[1:], len(p)) - 1] = WINDOW
-        covered = np.add.reduceat(np.minimum(step, WINDOW), group)
+        step = np.append(np.diff(p), window)
+        step[np.append(group[1:], len(p)) - 1] = window
+        covered = np.add.reduceat(np.minimum(step, window), group)
         low, high = np.minimum.reduceat(d, group), np.maximum.reduceat(d, group)
         own = c[1, group]
         kept = covered >= COVERED * items.asked[own]
-        regions.append(np.stack([c[0, group], own, low - WINDOW, high + items.lengths[own] + GRID // 2], axis=1)[kept])
-    every = np.concatenate(regions)
-    every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+        regions.append(np.stack([c[0, group], own, low - GRID // 2, high + items.lengths[own] + GRID // 2], axis=1)[kept])
+    return np.concatenate(regions)
+
+
+def _united(regions: np.ndarray) -> np.ndarray:
+    """Overlapping regions of a text and an item as one."""
+    every = regions[np.lexsort((regions[:, 2], regions[:, 1], regions[:, 0]))]
     if not len(every):
         return every
     same = (np.diff(every[:, :2], axis=0) == 0).all(axis=1) & (every[1:, 2] <= every[:-1, 3])
-    first = np.flatnonzero(np.concatenate([[True], ~same]))  # overlapping regions of a pair are one
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
     return np.stack([every[first, 0], every[first, 1], every[first, 2], np.maximum.reduceat(every[:, 3], first)], axis=1)
 
 
+def in_common(masks: dict[int, int], n: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of an item (its word -> places as bits) and a text, word-parallel."""
+    full = state = (1 << n) - 1
+    for w in text:
+        if at := masks.get(w):
+            u = state & at
+            state = ((state + u) | (state - u)) & full
+    return n - state.bit_count()
+
+
 def matched(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Words matched in the best local alignment of each item with each text (pair by pair).
 
@@ -211,21 +252,26 @@ def found_in(items: Items, texts: list[str | None]) -> tuple[list[int], list[int
         flat += x
     words = np.fromiter(map(items.vocabulary.__getitem__, flat), np.int32, len(flat))
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    if not len(words) or not items.least:
+    if not len(words) or not items.levels:
         return [], [], []
-    starts = _dense(words, bounds, items.least)
     text_of = np.repeat(np.arange(len(texts)), counts)
-    regions = _cells(items, words, starts, text_of) if len(starts) else np.zeros((0, 4), np.int64)
+    regions = [np.zeros((0, 4), np.int64)]
+    for level in items.levels:
+        starts = _dense(words, bounds, level.least, level.window)
+        if len(starts):
+            regions.append(_united(_cells(items, level, words, starts, text_of)))
+    regions = np.concatenate(regions)
     best: dict[tuple[int, int], int] = {}
-    regions = regions[np.argsort(regions[:, 3] - regions[:, 2], kind="stable")]
-    at, widths = 0, (regions[:, 3] - regions[:, 2]).tolist()
-    while at < len(regions):
-        last = min(at + 256, len(regions))
-        some = regions[at : max(at + 1, min(last, at + (1 << 20) // max(1, widths[last - 1])))]
+    inside = [(t, i, words[max(lo, bounds[t]) : min(hi, bounds[t + 1])]) for t, i, lo, hi in regions.tolist()]
+    # what has too few words in common in any order-keeping way can't be aligned with enough of them
+    inside = [x for x in inside if in_common(items.masks(x[1]), len(items.words[x[1]]), x[2].tolist()) >= items.asked[x[1]]]
+    inside.sort(key=lambda x: len(x[2]))
+    at = 0
+    while at < len(inside):
+        some = inside[at : at + 256]
+        some = some[: max(1, (1 << 20) // max(1, len(some[-1][2])))]
         at += len(some)
-        own = [items.words[i] for i in some[:, 1]]
-        parts = [words[max(lo, bounds[t]) : min(hi, bounds[t + 1])] for t, _, lo, hi in some.tolist()]
-        for (t, i, _, _), n in zip(some.tolist(), matched(own, parts).tolist(), strict=True):
+        for (t, i, _), n in zip(some, matched([items.words[i] for _, i, _ in some], [x for _, _, x in some]).tolist(), strict=True):
             if n >= items.asked[i]:
                 best[t, i] = max(n, best.get((t, i), 0))
     pairs = sorted(best)
@@ -258,11 +304,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str, text: str, it
 
         return source.mapInArrow(find, f"key {kind}, item bigint, matched int")
 
+    size = 0
     for row in rows:
         block.append(row)
-        if len(block) == ITEM_BLOCK:
+        size += (row[1] or "").count(" ") + 1
+        if size >= BLOCK_WORDS:
             out = one_pass(block) if out is None else out.unionByName(one_pass(block))
-            block = []
+            block, size = [], 0
     if block or out is None:
         out = one_pass(block) if out is None else out.unionByName(one_pass(block))
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "matched")
