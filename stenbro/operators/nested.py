@@ -4,8 +4,8 @@ A branch of a record is a tree of lists of objects. Each object is canonicalised
 and left out, members stand in name order) and hashed bottom-up: the hash of an object covers the hashes of its
 children, so equal subtrees have equal identities wherever they occur. Three tables come out:
 
-The levels are the branches `technical_seo` and `conversion`, `forms_meta` within the latter, the elements of their
-lists, and the fields of forms. All members of a level are in its body; members of a branch stand there as text, those
+The levels are the record, its branches `technical_seo` and `conversion`, `forms_meta` within the latter, the elements
+of their lists, and the fields of forms. All members of a level are in its body; members of a branch stand there as text, those
 that a captured document has beyond the typed ones too.
 
 * ``occurrences``: one row per object as it stands in a record (key, child, ordinals, identities, own members);
@@ -180,16 +180,18 @@ def occurrences(df: DataFrame, key: str, broken: Column, discarded: Column, form
     if branches:
         whole = whole.withColumns({"t": _hashed(_branch(F.col("technical_seo"), {"broken_links_list": F.col("b"), "discarded_links": F.col("d")})), "m": _hashed(_branch(F.col("forms_meta"), {"forms": F.col("f")}))})
         whole = whole.withColumn("c", _hashed(_branch(F.col("conversion"), {"forms_meta": F.col("m")} | {name: F.col(name) for name in LISTS})))
-        tie = {name: (F.when(F.col(name).isNotNull(), 1), F.get(F.col(name), F.lit(0))["hash"]) for name in tie}
-        rows = [_rows("technical_seo", F.col("t")), _rows("conversion", F.col("c")), _rows("forms_meta", F.col("m"), *tie["c"])]
+        some = F.when(F.col("t").isNotNull() | F.col("c").isNotNull(), F.create_map().cast("map<string,string>"))
+        whole = whole.withColumn("r", _hashed(_branch(some, {"technical_seo": F.col("t"), "conversion": F.col("c")})))
+        tie = {name: (F.when(F.col(name).isNotNull(), 1), F.get(F.col(name), F.lit(0))["hash"]) for name in (*tie, "r")}
+        rows = [_rows("record", F.col("r")), _rows("technical_seo", F.col("t"), *tie["r"]), _rows("conversion", F.col("c"), *tie["r"]), _rows("forms_meta", F.col("m"), *tie["c"])]
         rows += [_rows(child, F.col(name), *tie["c"]) for name, child in LISTS.items()]
     every = F.concat(_rows("broken_link", F.col("b"), *tie["t"]), _rows("discarded_link", F.col("d"), *tie["t"]), _rows("form", F.col("f"), *tie["m"]), fields, *rows)
     return whole.select("analysis_id", F.explode(every).alias("o")).where("o is not null").select("analysis_id", "o.*")
 
 
 def objects(occurred: DataFrame) -> DataFrame:
-    """Every distinct object once."""
-    return occurred.groupBy("hash", "child").agg(F.first("item").alias("item"), F.first("body").alias("body"))
+    """Every distinct object once, with its item and its body where the occurrences have it."""
+    return occurred.groupBy("hash", "child").agg(*[F.first(c).alias(c) for c in ("item", "body") if c in occurred.columns])
 
 
 def bridge(occurred: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stenbro.operators import nested, packed
-from stenbro.session import table
+from stenbro.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +40,7 @@ def _occurred(spark: SparkSession, sf_dir: str, above: bool = False) -> DataFram
 
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occurred = _occurred(spark, sf_dir)
+    occurred = written(_occurred(spark, sf_dir).drop("body"))  # the documents are taken apart once, for store and bridge
     return nested.children(nested.bridge(occurred), nested.objects(occurred)).distinct()
 
 
