@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +36,106 @@ def danish_ascii(c: Column) -> Column:
     """Danish letters in two Latin ones."""
     for a, b in (("æ", "ae"), ("ø", "oe"), ("å", "aa"), ("Æ", "Ae"), ("Ø", "Oe"), ("Å", "Aa")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return F.translate(c, "éöäÉÖÄ", "eoaEOA")
+
+
+def plain_letters() -> tuple[str, str]:
+    """Latin letters with marks and their bare letters, by what they decompose to."""
+    pairs = [(chr(k), d[0]) for k in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(k))) > 1 and d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def title_key(c: Column) -> Column:
+    """A title for comparing: lower case without marks (ø and æ stay), letters, digits and / + - & only, separators as one space."""
+    bare = F.regexp_replace(F.translate(F.lower(F.trim(c)), *plain_letters()), r"[^\p{L}\p{N}_\s/+&-]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[/-]+", " "), r"\s{2,}", " "))
+
+
+def promoted(c: Column) -> Column:
+    """Two to four words of letters with their first ones in upper case, the rest as written; NULL for anything else."""
+    t = collapse(c)
+    words = F.transform(F.split(t, " "), lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2))))
+    return F.when(t.rlike("(?iu)^[a-zæøå]{2,}( [a-zæøå]{2,}){1,3}$"), F.array_join(words, " "))
+
+
+def normal_email(c: Column) -> Column:
+    """Lower case, without brackets and `mailto:`; NULL if that is no address."""
+    e = F.regexp_replace(F.lower(F.btrim(F.trim(c), F.lit("<>"))), r"^mailto:\s*", "")
+    return F.when(e.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), e)
+
+
+def best_mail_score(mails: Column, name: Column) -> Column:
+    """The most parts of a name (two letters or more) that the mailbox of one of the addresses holds."""
+    parts = F.filter(F.split(F.lower(name), "[^a-zæøå]+"), lambda p: F.length(p) >= 2)
+    user = lambda e: F.regexp_replace(F.lower(F.split_part(e, F.lit("@"), F.lit(1))), "[^a-z0-9æøå]+", "")
+    return F.array_max(F.transform(mails, lambda e: F.size(F.filter(parts, lambda p: F.contains(user(e), p)))))
+
+
+#: Fixed words that qualify a firm's name.
+QUALIFIERS = "aps a s ivs k i group holding ltd gmbh bureau agency studio media digital marketing consult consulting solutions partners company co inc ab oy".split()
+
+
+def core_tokens(name: Column) -> Column:
+    """The words of a firm's name but those that qualify it."""
+    return F.filter(F.regexp_extract_all(F.lower(name), F.lit("[0-9a-zæøåéèüö]+"), F.lit(0)), lambda t: ~t.isin(QUALIFIERS))
+
+
+def said(text: Column, terms: list[str]) -> Column:
+    """The terms that a text holds, sorted."""
+    low = F.lower(text)
+    return F.array_sort(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), t) for t in terms])))
+
+
+def tag_free(c: Column) -> Column:
+    """A page's text: scripts and styles with what they hold, then tags, as spaces."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", " "), "<[^<>]*>", " ")
+
+
+def around(text: Column, at: Column, before: int, behind) -> Column:
+    """The text from `before` characters before a place to `behind` ones behind it."""
+    behind = F.lit(behind) if isinstance(behind, int) else behind
+    return F.substr(text, F.greatest(F.lit(1), at - before), F.lit(before) + behind - F.greatest(F.lit(0), F.lit(before + 1) - at))
+
+
+def language(text: Column, words: dict[str, str]) -> Column:
+    """The language whose words (alternatives of a pattern) a text has most, the first of several; NULL without any."""
+    low = F.lower(text)
+    counts = [F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))) for p in words.values()]
+    best = F.greatest(*counts)
+    got = F.when(best == 0, None)
+    for name, n in zip(words, counts, strict=True):
+        got = got.when(n == best, name)
+    return got
+
+
+def labelled(c: Column, labels: dict[str, str], other: str | None = None) -> Column:
+    """A value's label, another one's own text or `other`."""
+    got = F.when(F.lit(False), F.lit(None).cast("string"))
+    for k, v in labels.items():
+        got = got.when(c == k, v)
+    return got.otherwise(c if other is None else F.lit(other))
+
+
+def confidence(score: Column, signals: dict[float, Column]) -> Column:
+    """A score of 0 to 10 over 8, with what each signal that holds adds, kept between 0 and 1."""
+    total = F.least(F.greatest(score, F.lit(0.0)), F.lit(10.0)) / 8
+    for add, holds in signals.items():
+        total = total + F.when(holds, add).otherwise(0.0)
+    return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
+
+
+def literal_map(c: Column) -> Column:
+    """A dict literal with quoted keys and values as a map."""
+    return F.from_json(F.regexp_replace(F.regexp_replace(c, '"', '\\\\"'), r"(?<=[{ ])'|'(?=[:,}])", '"'), "map<string,string>")
+
+
+def merged_maps(first: Column, later: Column) -> Column:
+    """Two maps as one; the later one's values win."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+
+def lower_keys(m: Column) -> Column:
+    return F.transform_keys(m, lambda k, v: F.lower(k))
 
 
 def company_key(c: Column) -> Column:
@@ -100,6 +201,25 @@ def email_domain(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, "@([^@\\s>]+)$", 1))
 
 
+def contact_kind(c: Column) -> Column:
+    """(kind, digits, size) of a contact value: an address with @, a phone of eight digits or more, a site with a point, or other."""
+    digits = phone_digits(c)
+    kind = F.when(F.contains(c, F.lit("@")), "email").when(F.length(digits) >= 8, "phone").when(F.contains(c, F.lit(".")), "website").otherwise("other")
+    return F.struct(kind.alias("kind"), digits.alias("digits"), F.length(c).alias("size"))
+
+
+def unwrapped(c: Column) -> Column:
+    """A JSON object whose only member is `value` as that value; anything else as it is."""
+    only = F.json_object_keys(c)
+    return F.when((F.size(only) == 1) & (F.get(only, F.lit(0)) == "value"), F.get_json_object(c, "$.value")).otherwise(c)
+
+
+def moved(low: Column, high: Column, test) -> Column:
+    """The elements of `low` that stay, then `high` with those added that the test moves there, as text."""
+    kept = lambda c: F.filter(c, lambda u: u.isNotNull())
+    return F.concat(F.array_join(F.filter(low, lambda u: ~test(u)), " "), F.lit(" | "), F.array_join(kept(high), " "), F.lit(" + "), F.array_join(F.filter(low, test), " "))
+
+
 def is_generic_box(c: Column) -> Column:
     return F.lower(F.split(c, "@")[0]).isin(*GENERIC_BOXES)
 
@@ -187,3 +307,26 @@ def keyword_score(sample: Column, keywords: Column) -> Column:
 
     mean = F.when(F.size(keywords) > 0, F.bround(F.aggregate(keywords, F.lit(0.0), lambda a, k: a + one(k)) / F.size(keywords), 3)).otherwise(0.0)
     return F.when(sample.rlike("|".join(CONVERSION)), F.least(F.lit(1.0), mean + 0.1)).otherwise(mean)
+
+
+def robots(body: Column) -> dict[str, Column]:
+    """Disallowed path beginnings (without '/', which would be all), sitemaps and the crawl delay of a robots.txt; comments don't count."""
+    lines = F.transform(F.split(body, r"\R"), lambda x: F.trim(F.split(x, "#")[0]))
+    given = lambda name: F.filter(F.transform(lines, lambda x: F.regexp_extract(x, rf"(?i)^{name}:\s*(\S+)", 1)), lambda x: x != "")
+    return {"disallows": F.filter(given("disallow"), lambda x: x != "/"), "sitemaps": given("sitemap"), "delay": F.get(given("crawl-delay"), F.lit(0)).try_cast("double")}
+
+
+def sitemap(body: Column) -> Column:
+    """[(loc, nested)] of a sitemap's pages, or of the sitemaps that a sitemap index names (nested).
+
+    Read by pattern, as an XML reader would stop the job at a body that isn't well-formed.
+    """
+    found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:[a-z]+:)?loc>\s*(.*?)\s*</(?:[a-z]+:)?loc>"), F.lit(1))
+    nested = body.rlike("(?i)<(?:[a-z]+:)?sitemapindex")
+
+    def plain(c: Column) -> Column:
+        for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            c = F.replace(c, F.lit(name), F.lit(mark))
+        return c
+
+    return F.transform(found, lambda x: F.struct(plain(x).alias("loc"), nested.alias("nested")))

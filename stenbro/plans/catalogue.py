@@ -54,12 +54,6 @@ on("SRC-30", "profiles", "select profile_id, fullname, location.city as city, lo
 on("SRC-15", "analysis_raw", "select analysis_id, coalesce(payload->>'$.analysis.url', payload->>'$.url') as url from analysis_raw where payload is not null and json_valid(payload) and json_type(payload::json) = 'OBJECT'")(
     lambda d: d.select("analysis_id", F.col("payload"), F.try_parse_json("payload").alias("v")).where("schema_of_variant(v) like 'OBJECT%'").select("analysis_id", F.coalesce(F.try_variant_get("v", "$.analysis.url", "string"), F.try_variant_get("v", "$.url", "string")).alias("url"))
 )
-on("PRJ-01", "site_analysis", "select analysis_id, privacy.cookie_banner_detected as privacy_cookie_banner_detected, privacy.detection_method as privacy_detection_method, privacy.cookie_banner_confidence as privacy_cookie_banner_confidence from site_analysis")(
-    lambda d: R.flattened(d.select("analysis_id", "privacy"))
-)
-on("PRJ-02", "site_analysis", "select analysis_id, basic_seo.h1_count as basic_seo_h1_count, basic_seo.word_count as basic_seo_word_count, technical_seo.status_code as technical_seo_status_code, conversion.cta_score as conversion_cta_score from site_analysis")(
-    lambda d: d.select("analysis_id", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s, f in (("basic_seo", "h1_count"), ("basic_seo", "word_count"), ("technical_seo", "status_code"), ("conversion", "cta_score"))])
-)
 on("PRJ-03", "profiles", "select profile_id as id, fullname as name, headline as title from profiles")(
     lambda d: d.select(*[F.col(a).alias(b) for a, b in (("profile_id", "id"), ("fullname", "name"), ("headline", "title"), ("absent", "none")) if a in d.columns])
 )
@@ -96,8 +90,6 @@ on("FIL-12", "site_analysis", "select analysis_id, h as href from (select analys
 )
 column("FIL-15", "site_analysis", "analysis_id", "same_site", lambda: X.host(F.col("url")) == F.regexp_replace(F.lower("site_host"), r"^www\.", ""), f"{HOST_SQL.format('url')} = regexp_replace(lower(site_host), '^www\\.', '')")
 column("FIL-16", "contact_candidate", "candidate_id", "same_apex", lambda: X.apex(X.host(F.col("url"))) == X.apex(F.lower("site_host")), f"regexp_extract({HOST_SQL.format('url')}, '([^.]+\\.[^.]+)$', 1) = regexp_extract(lower(site_host), '([^.]+\\.[^.]+)$', 1)")
-column("FIL-18", "contact_candidate", "candidate_id", "negative", lambda: F.lower("url").rlike("privat|persondata|job|karriere|vilkaar|cookie|login"), "regexp_matches(lower(url), 'privat|persondata|job|karriere|vilkaar|cookie|login')")
-column("FIL-19", "contact_candidate", "candidate_id", "contactish", lambda: X.path(F.col("url")).rlike("(?i)/(kontakt|om-os|team|medarbejdere)(/|$)"), f"regexp_matches({PATH_SQL.format('url')}, '(?i)/(kontakt|om-os|team|medarbejdere)(/|$)')")
 on("FIL-20", "contact_candidate", "select candidate_id, e as email from (select candidate_id, unnest(emails) as e from contact_candidate) where not regexp_matches(lower(e), '@(example\\.com|test\\.dk|domain\\.com)$')")(
     lambda d: d.select("candidate_id", F.explode("emails").alias("email")).where(~F.lower("email").rlike(r"@(example\.com|test\.dk|domain\.com)$"))
 )
@@ -156,6 +148,3 @@ for _id, _rule in {"RUL-01": "https", "RUL-02": "status", "RUL-03": "links", "RU
 on("RUL-11", "site_analysis", f"select analysis_id, {RULE_SQL['speed']} as points, {RULE_SQL['speed']} > 0 as passed from site_analysis")(
     lambda d: d.select("analysis_id", _points(d)["speed"].alias("points")).withColumn("passed", F.col("points") > 0)
 )
-on("RUL-14", "site_analysis", f"select analysis_id, {' + '.join(RULE_SQL.values())} as total, round_even(({' + '.join(RULE_SQL.values())}) * 100.0 / 86, 0)::bigint as percent from site_analysis")(
-    lambda d: d.select("analysis_id", sum(_points(d).values(), F.lit(0)).alias("total")).withColumn("percent", F.bround(F.col("total") * 100.0 / 86, 0).cast("bigint"))
-)

@@ -32,9 +32,6 @@ def tokens(c):
 
 # --- joins ----------------------------------------------------------------------------------------------------------
 both("JOI-01", "region", "city_register", "select r_regionkey, city_id from region, city_register")(lambda a, b: a.select("r_regionkey").crossJoin(F.broadcast(b.select("city_id"))))
-both("JOI-02", "site_analysis", "url_cache", f"""select analysis_id, h.title as cached from site_analysis s left join (select {HOST_SQL.format('url')} as h, max(title) as title from url_cache group by 1) h on h.h = s.site_host""")(
-    lambda a, b: a.select("analysis_id", "site_host").join(b.groupBy(X.host(F.col("url")).alias("site_host")).agg(F.max("title").alias("cached")), "site_host", "left").select("analysis_id", "cached")
-)
 both("JOI-04", "contact_candidate", "title_register", """select candidate_id, coalesce(n.k, a.k) as code from contact_candidate c left join (select lower(StillingsBetegnelseNavn) t, min(StillingsBetegnelseKode) k from title_register group by 1) n on lower(trim(c.title)) = n.t left join (select lower(Alias1) t, min(StillingsBetegnelseKode) k from title_register group by 1) a on lower(trim(c.title)) = a.t""")(
     lambda c, t: c.select("candidate_id", F.lower(F.trim("title")).alias("t"))
     .join(t.groupBy(F.lower("StillingsBetegnelseNavn").alias("t")).agg(F.min("StillingsBetegnelseKode").alias("n")), "t", "left")
@@ -99,15 +96,9 @@ on("AGG-09", "site_analysis", "select site_host, floor(sum(basic_seo.word_count)
 on("AGG-10", "site_analysis", "select analysis_id, case when technical_seo.links_checked > 0 then round(100.0 * technical_seo.broken_links_count / technical_seo.links_checked, 1)::double else 0.0::double end as pct from site_analysis")(
     lambda d: d.select("analysis_id", F.when(F.col("technical_seo.links_checked") > 0, F.round(F.lit(100.0) * F.col("technical_seo.broken_links_count") / F.col("technical_seo.links_checked"), 1)).otherwise(0.0).alias("pct"))
 )
-on("AGG-12", "site_analysis", "select site_host, bool_or(conversion.has_ga4) as ga4, sum(technical_seo.total_links_found) as links, max(conversion.cta_score) as cta from site_analysis group by 1")(
-    lambda d: d.groupBy("site_host").agg(F.bool_or("conversion.has_ga4").alias("ga4"), F.sum("technical_seo.total_links_found").alias("links"), F.max("conversion.cta_score").alias("cta"))
-)
 on("AGG-13", "contact_candidate", "select site_host, name, array_to_string(list_sort(list_distinct(flatten(list(emails)))), '; ') as emails, min(dom_distance) as dom_distance from contact_candidate where name is not null and name <> '' group by 1, 2")(
     lambda d: R.folded(d.where("name <> ''"), ["site_host", "name"], {}, ["emails"], ["dom_distance"], F.col("candidate_id")).withColumn("emails", F.array_join("emails", "; "))
 )
-on("AGG-15", "contact_candidate", "select site_host, phone, sum(case source when 'json-ld' then 100 when 'mailto' then 50 else 20 end) as weight, count(distinct url) as pages from (select site_host, source, url, unnest(phones) as phone from contact_candidate) where phone is not null group by 1, 2")(
-    lambda d: d.select("site_host", "source", "url", F.explode("phones").alias("phone")).where("phone is not null").groupBy("site_host", "phone").agg(F.sum(F.when(F.col("source") == "json-ld", 100).when(F.col("source") == "mailto", 50).otherwise(20)).alias("weight"), F.countDistinct("url").alias("pages"))
-)
 on("AGG-17", "company", "select avg(case when regexp_matches(Hjemmeside, '(https?://|www\\.)') then 1.0 else 0.0 end)::double as site_share, avg(case when regexp_matches(Email, '(https?://|www\\.)') then 1.0 else 0.0 end)::double as email_share from company")(
     lambda d: d.agg(*[F.avg(F.when(F.col(c).rlike(r"(https?://|www\.)"), 1.0).otherwise(0.0)).alias(n) for c, n in (("Hjemmeside", "site_share"), ("Email", "email_share"))])
 )
@@ -151,9 +142,6 @@ both("SET-01", "profiles", "contact_candidate", "select profile_id as id, fullna
 both("SET-02", "contact_candidate", "profiles", "select distinct name from contact_candidate except select fullname from profiles")(lambda c, p: c.select("name").distinct().exceptAll(p.select(F.col("fullname").alias("name")).distinct()))
 both("SET-03", "contact_candidate", "profiles", "select name from contact_candidate intersect select fullname from profiles")(lambda c, p: c.select("name").intersect(p.select("fullname")))
 column("SET-04", "site_analysis", "analysis_id", "differ", lambda: F.coalesce("conversion.has_ga4", F.lit(False)) != F.coalesce("conversion.has_gtm", F.lit(False)), "coalesce(conversion.has_ga4,false) <> coalesce(conversion.has_gtm,false)")
-on("SET-05", "site_analysis", "select site_host, array_to_string(list_sort(list_distinct(flatten(list(conversion.trust_signals_found)))), '; ') as signals from site_analysis where conversion.trust_signals_found is not null group by 1")(
-    lambda d: d.where("conversion.trust_signals_found is not null").groupBy("site_host").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("conversion.trust_signals_found")))), "; ").alias("signals"))
-)
 
 # --- scalar functions -----------------------------------------------------------------------------------------------
 column("TXT-01", "url_cache", "cache_id", "t", lambda: X.collapse(F.col("title")), "trim(regexp_replace(title, '\\s+', ' ', 'g'))")
@@ -177,7 +165,6 @@ column("TXT-28", "documents", "doc_id", "plain", lambda: F.regexp_replace("text"
 column("TXT-31", "company", "row_id", "first_director", lambda: F.trim(F.split(X.filled(F.col("Direktørnavn")), "[;,]")[0]), f"""case when "Direktørnavn" is not null and not {BLANK_SQL.format('"Direktørnavn"')} then trim(regexp_split_to_array("Direktørnavn", '[;,]')[1]) end""")
 column("emails_redacted", "documents", "doc_id", "t", lambda: X.redacted(F.col("text")), "regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')")
 column("text_md5", "documents", "doc_id", "h", lambda: F.md5("text"), "md5(text)")
-column("URL-01", "site_analysis", "analysis_id", "u", lambda: X.normal_url(F.col("url")), f"case when {HOST_SQL.format('url')} = '' then null else 'https://' || {HOST_SQL.format('url')} || regexp_replace({PATH_SQL.format('url')}, '/+$', '') end")
 column("URL-04", "contact_candidate", "candidate_id", "h", lambda: X.host(F.col("url")), HOST_SQL.format("url"))
 column("URL-06", "contact_candidate", "candidate_id", "u", lambda: X.without_tracking(F.col("url")), f"""regexp_extract(url, '^([^?#]*)', 1) || case when len(list_filter(string_split({QUERY_SQL.format('url')}, '&'), lambda p: p <> '' and split_part(p,'=',1) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref'))) > 0 then '?' || array_to_string(list_filter(string_split({QUERY_SQL.format('url')}, '&'), lambda p: p <> '' and split_part(p,'=',1) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref')), '&') else '' end""")
 column("URL-13", "url_cache", "cache_id", "u", lambda: F.when(F.col("url").startswith("ttps://"), F.concat(F.lit("h"), F.col("url"))).when(F.col("url").startswith("//"), F.concat(F.lit("https:"), F.col("url"))).when(~F.contains(F.col("url"), F.lit("://")), F.concat(F.lit("https://"), F.col("url"))).otherwise(F.col("url")), "case when starts_with(url,'ttps://') then 'h' || url when starts_with(url,'//') then 'https:' || url when not contains(url,'://') then 'https://' || url else url end")

@@ -59,17 +59,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/stenbro-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage through a Parquet table in the shared folder; it is deleted when the session's JVM ends.
 
     Against a checkpoint it is compressed, read by column, and keeps its size as a statistic for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stenbro-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
