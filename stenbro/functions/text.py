@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -330,3 +331,76 @@ def sitemap(body: Column) -> Column:
         return c
 
     return F.transform(found, lambda x: F.struct(plain(x).alias("loc"), nested.alias("nested")))
+
+
+def any_of(c: Column, parts) -> Column:
+    """Whether a text holds one of the parts."""
+    got = F.lit(False)
+    for p in parts:
+        got = got | F.contains(c, F.lit(p))
+    return got
+
+
+def ends_any(c: Column, ends) -> Column:
+    got = F.lit(False)
+    for e in ends:
+        got = got | c.endswith(e)
+    return got
+
+
+def is_danish_phone(digits: Column) -> Column:
+    """Eight digits that begin with 2 (not 20) or 4 to 9, or 45 and eight that begin with 2 (not 20) to 9."""
+    return digits.rlike(r"^(?:2[1-9]|[4-9]\d)\d{6}$") | digits.rlike(r"^45(?:2[1-9]|[3-9]\d)\d{6}$")
+
+
+def is_plausible_name(name: Column, not_names: list[str]) -> Column:
+    """Two to four words, two or more of them capitalised, no digits, @ or /, not all in upper case, no word of pages or roles."""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-ZÆØÅ]"))) >= 2
+    return F.size(words).between(2, 4) & capital & ~name.rlike("[0-9@/]") & (F.upper(name) != name) & ~F.exists(words, lambda w: F.lower(w).isin(not_names))
+
+
+def places_differ(zip_a: Column, zip_b: Column, city_a: Column, city_b: Column) -> Column:
+    """Whether two places differ: by their codes if both have one, else by their towns if both have one."""
+
+    def town(c: Column) -> Column:
+        low = F.lower(F.trim(c))
+        return F.when(low == "copenhagen", "københavn").when(~low.isin("", "n/a"), low)
+
+    a, b = F.trim(filled(zip_a)), F.trim(filled(zip_b))
+    return F.when(a.isNotNull() & b.isNotNull(), a != b).when(town(city_a).isNotNull() & town(city_b).isNotNull(), town(city_a) != town(city_b)).otherwise(False)
+
+
+def at_path(document: Column, path: str, default: str | None = None) -> Column:
+    """The value at a dotted path with list places (`a.b[0].c` or `a.b.0.c`) of a JSON document.
+
+    A path with a slice is none, and anything that isn't there gives the default.
+    """
+    if not re.fullmatch(r"[^.\[\]]+(?:\.[^.\[\]]+|\[\d+\])*", path):
+        return F.lit(default).cast("string")
+    steps = re.sub(r"\.(\d+)(?=\.|\[|$)", r"[\1]", path)
+    found = F.get_json_object(document, f"$.{steps}")
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def overlay(below: Column, above: Column, empty: Column) -> Column:
+    """The value above, unless it is NULL or empty."""
+    return F.when(above.isNotNull() & (above != empty), above).otherwise(below)
+
+
+def address_tail(address: Column) -> dict[str, Column]:
+    """Code and town of an address line that ends with them, with or without the country behind."""
+    form = r"(?:^|[,\s])(\d{4})\s+([^,\d]+?)(?:,\s*(?:Danmark|Denmark))?\s*$"
+    return {"zip": F.nullif(F.regexp_extract(address, form, 1), F.lit("")), "city": F.nullif(F.regexp_extract(address, form, 2), F.lit(""))}
+
+
+def participants(people: Column, kind: str, roles: tuple[str, ...]) -> Column:
+    """Names of the participants (kind, role, name) of a kind in one of the roles, each once, sorted."""
+    kept = F.filter(people, lambda p: (p["kind"] == kind) & p["role"].isin(*roles))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(kept, lambda p: F.trim(p["name"])), lambda n: ~n.isin("", "N/A"))))
+
+
+def spread(numbers: Column, within: int) -> Column:
+    """Numbers in their order without those within so much of one that was kept before."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(F.filter(numbers, lambda x: x.isNotNull()), none, lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(k - x) <= within), kept).otherwise(F.concat(kept, F.array(x.cast("int")))))

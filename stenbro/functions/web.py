@@ -72,7 +72,8 @@ def resolved(base: Column, ref: Column) -> Column:
     merged = F.concat(F.when(folder == "", "/").otherwise(folder), part(ref, 3))
     query = F.when(part(base, 4) != "", F.concat(F.lit("?"), part(base, 4))).otherwise("")
     return (
-        F.when(part(ref, 1) != "", ref)
+        F.when(ref == "", base)
+        .when(part(ref, 1) != "", ref)
         .when(ref.startswith("//"), F.concat(part(base, 1), F.lit("://"), part(ref, 2), without_dots(part(ref, 3)), tail))
         .when(part(ref, 3).startswith("/"), F.concat(site, without_dots(part(ref, 3)), tail))
         .when(part(ref, 3) != "", F.concat(site, without_dots(merged), tail))
@@ -145,3 +146,13 @@ def social_kind(url: Column) -> Column:
     for network, pattern in POSTS:
         shared = shared | ((host == network) & path.rlike(pattern))
     return F.when(host.rlike(NETWORKS), F.when(shared, "share").otherwise("profile"))
+
+
+def shared_form(url: Column, tracked: list[str], hosts: dict[str, str]) -> Column:
+    """An address without tracking parameters, fragment and slash at its end, with https and its host's main name."""
+    host = bare_host(url)
+    main = F.when(F.lit(False), host)
+    for a, b in hosts.items():
+        main = main.when(host == a, b)
+    kept = F.filter(F.split(part(url, 4), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).isin(tracked))
+    return F.concat(F.lit("https://"), main.otherwise(host), F.regexp_replace(part(url, 3), "/+$", ""), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))

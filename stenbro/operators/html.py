@@ -266,7 +266,7 @@ CONSENT = r"(?i)cookiebot|cookieinformation|onetrust|cookielaw|usercentrics|quan
 
 def cookie_banner(page: Column, text: Column) -> tuple[Column, Column]:
     """(method, confidence): a consent service's script, an element named for cookies or consent, or words about them."""
-    script = page.rlike(rf"<script[^>]*(?:{CONSENT[4:]})")
+    script = page.rlike(rf"(?i)<script[^>]*(?:{CONSENT[4:]})")
     element = page.rlike(r"(?i)(?:class|id)=[\"'][^\"']*(?:cookie|consent)[^\"']*[\"']")
     said = text.rlike(r"(?i)\bcookies?\b") & text.rlike(r"(?i)gdpr|samtykke|consent|accept")
     method = F.when(script, "script").when(element, "selector").when(said, "text")
@@ -297,7 +297,7 @@ def decoded(code: Column) -> Column:
     whole = code.rlike("^(?:[0-9a-fA-F]{2}){2,}$")
     at = F.sequence(F.lit(3), F.greatest(n - 1, F.lit(3)), F.lit(2))
     hexed = F.array_join(F.transform(at, lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(byte(F.lit(1)))), 2, "0")), "")
-    return F.when(whole, F.try_validate_utf8(F.decode(F.try_to_binary(hexed, F.lit("hex")), "UTF-8")))
+    return F.when(whole, F.try_validate_utf8(F.try_to_binary(hexed, F.lit("hex")).cast("string")))
 
 
 def encoded(text: Column, key: Column) -> Column:
@@ -316,3 +316,10 @@ def contact_of(href: str, code: str) -> Column:
     kind = F.when(is_mail | F.col(code).isNotNull(), "email").when(is_phone, "phone")
     value = F.when(is_mail, mail).when(F.col(code).isNotNull(), decoded(F.col(code))).when(is_phone, F.regexp_replace(link, "(?i)^tel:\\s*", ""))
     return F.struct(kind.alias("kind"), value.alias("value"))
+
+
+def runtime_state(page: Column, name: str = "__INITIAL_STATE__") -> Column:
+    """The state object that a page's script assigns to a name, as JSON: bare keys quoted, `undefined` as null, no trailing commas."""
+    found = F.regexp_extract(page, rf"(?s){name}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1)
+    quoted = F.regexp_replace(found, r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":')
+    return F.nullif(F.regexp_replace(F.regexp_replace(quoted, r":\s*undefined\b", ": null"), r",\s*([}\]])", "$1"), F.lit(""))

@@ -184,3 +184,10 @@ def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
 def with_missing(df: DataFrame, columns: dict[str, object]) -> DataFrame:
     """Columns that are absent added with their defaults."""
     return df.withColumns({c: F.lit(v) for c, v in columns.items() if c not in df.columns})
+
+
+def url_columns(df: DataFrame, columns: list[str], pattern: str, least: float) -> DataFrame:
+    """(column_name, share, best): the share of values like addresses in each column; best: the greatest, if `least` or more."""
+    shares = df.agg(*[F.avg(F.when(F.col(c).rlike(pattern), 1.0).otherwise(0.0)).alias(c) for c in columns])
+    most = F.greatest(*[F.col(c) for c in columns])
+    return shares.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("share"), ((F.col(c) == most) & (F.col(c) >= least)).alias("best")) for c in columns])))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stenbro.functions import text as X
@@ -10,7 +10,6 @@ from stenbro.operators import relational as R
 from stenbro.operators import rules
 from stenbro.queries import query
 from stenbro.session import table
-from stenbro.streaming import events as stream
 
 NAME = "Vrvirksomhed_virksomhedMetadata_nyesteNavn_navn"
 ADDRESS = "Vrvirksomhed_virksomhedMetadata_nyesteBeliggenhedsadresse_"
@@ -45,67 +44,32 @@ def column(name: str, source: str, key: str, out: str, expression, sql: str, whe
 
 
 # --- sources, projections -------------------------------------------------------------------------------------------
-column("SRC-01", "postal_codes", "line_no", "label", lambda: F.concat_ws(" ", F.trim("Postnummer"), F.trim("Bynavn")), "concat_ws(' ', trim(Postnummer), trim(Bynavn))")
-column("SRC-06", "company", "row_id", "live", lambda: F.coalesce(F.lower(F.trim("HjemmesideLiveBool")).isin("true", "1", "yes"), F.lit(False)), "coalesce(lower(trim(HjemmesideLiveBool)) in ('true','1','yes'), false)")
-column("SRC-09", "site_analysis", "analysis_id", "address", lambda: F.trim("url"), "trim(url)", lambda: F.col("url").startswith("http"), "starts_with(url, 'http')")
-on("SRC-30", "profiles", "select profile_id, fullname, location.city as city, location.country_code as country_code from profiles where fullname is not null")(
-    lambda d: d.where("fullname is not null").select("profile_id", "fullname", F.col("location.city").alias("city"), F.col("location.country_code").alias("country_code"))
-)
-on("SRC-15", "analysis_raw", "select analysis_id, coalesce(payload->>'$.analysis.url', payload->>'$.url') as url from analysis_raw where payload is not null and json_valid(payload) and json_type(payload::json) = 'OBJECT'")(
-    lambda d: d.select("analysis_id", F.col("payload"), F.try_parse_json("payload").alias("v")).where("schema_of_variant(v) like 'OBJECT%'").select("analysis_id", F.coalesce(F.try_variant_get("v", "$.analysis.url", "string"), F.try_variant_get("v", "$.url", "string")).alias("url"))
-)
 on("PRJ-03", "profiles", "select profile_id as id, fullname as name, headline as title from profiles")(
     lambda d: d.select(*[F.col(a).alias(b) for a, b in (("profile_id", "id"), ("fullname", "name"), ("headline", "title"), ("absent", "none")) if a in d.columns])
 )
-on("PRJ-04", "company", f"""select row_id, coalesce("{NAME}",'N/A') as navn, coalesce(Email,'N/A') as email, coalesce(Telefon,'N/A') as telefon, 'N/A' as mangler from company""")(
-    lambda d: d.select("row_id", *[F.coalesce(F.col(c).cast("string") if c in d.columns else F.lit(None), F.lit("N/A")).alias(n) for c, n in ((NAME, "navn"), ("Email", "email"), ("Telefon", "telefon"), ("Findes ikke", "mangler"))])
-)
 on("PRJ-05", "url_cache", "select cache_id, '' as note, 0 as tries from url_cache")(lambda d: R.with_missing(d, {"note": "", "tries": 0}).select("cache_id", "note", "tries"))
-on("PRJ-06", "site_analysis", "select analysis_id, conversion.forms_meta.forms[1].action as first_action, technical_seo.broken_links_list[1] as first_broken from site_analysis")(
-    lambda d: d.select("analysis_id", F.get(F.col("conversion.forms_meta.forms"), F.lit(0))["action"].alias("first_action"), F.get(F.col("technical_seo.broken_links_list"), F.lit(0)).alias("first_broken"))
-)
-column("PRJ-10", "url_cache", "cache_id", "shown", lambda: F.when(F.col("title").isNotNull() & (F.trim("title") != ""), F.col("title")).otherwise(F.col("normalized_key")), "case when title is not null and trim(title) <> '' then title else normalized_key end")
 column("PRJ-16", "company", "row_id", "remark", lambda: F.when(~X.is_filled(F.col("Hjemmeside")), "ingen side").otherwise(F.col("HjemmesideBemærkning")), f"case when Hjemmeside is null or {BLANK_SQL.format('Hjemmeside')} then 'ingen side' else \"HjemmesideBemærkning\" end")
 column("PRJ-17", "company", "row_id", "effective", lambda: F.when(F.lower(F.trim("HjemmesideGMB")).isin("", "n/a") | F.col("HjemmesideGMB").isNull(), F.col("Hjemmeside")).otherwise(F.col("HjemmesideGMB")), "case when HjemmesideGMB is null or lower(trim(HjemmesideGMB)) in ('','n/a') then Hjemmeside else HjemmesideGMB end")
 
 # --- filters --------------------------------------------------------------------------------------------------------
-on("FIL-01", "company", f"""select row_id from company where Branchekode = '905710' and "{ADDRESS}postnummer" in ('1014','1015','1028')""")(
-    lambda d: d.where((F.col("Branchekode") == "905710") & F.col(ADDRESS + "postnummer").isin("1014", "1015", "1028")).select("row_id")
-)
 on("FIL-02", "company", f"""select row_id from company where "{ENDED}" is null or {BLANK_SQL.format(f'"{ENDED}"')}""")(lambda d: d.where(~X.is_filled(F.col(ENDED))).select("row_id"))
-on("FIL-03", "company", f"""select row_id from company where not coalesce(regexp_matches(upper("{STATUS}"), 'OPHØRT|KONKURS|OPLØST|SLETTET|LIKVIDATION|REKONSTRUKTION|TVANGSOPLØS'), false)""")(
-    lambda d: d.where(~F.exists(F.array(F.col(STATUS)), lambda s: F.coalesce(F.upper(s).rlike("OPHØRT|KONKURS|OPLØST|SLETTET|LIKVIDATION|REKONSTRUKTION|TVANGSOPLØS"), F.lit(False)))).select("row_id")
-)
 column("FIL-04", "company", "row_id", "code", lambda: X.left_pad(F.replace(F.trim("Branchekode"), F.lit("."), F.lit("")), 6), "case when length(replace(trim(Branchekode),'.','')) < 6 then lpad(replace(trim(Branchekode),'.',''),6,'0') else replace(trim(Branchekode),'.','') end")
 on("FIL-05", "company", f"""select row_id from company where upper("{STATUS}") in ('AKTIV','NORMAL')""")(lambda d: d.where(F.upper(F.col(STATUS)).isin("AKTIV", "NORMAL")).select("row_id"))
 on("FIL-06", "company", "select row_id from company where lower(trim(HjemmesideLiveBool)) = 'true'")(lambda d: d.where(F.lower(F.trim("HjemmesideLiveBool")) == "true").select("row_id") if "HjemmesideLiveBool" in d.columns else d.select("row_id"))
 on("FIL-07", "company", f"select row_id from company where Email is not null and not {BLANK_SQL.format('Email')}")(lambda d: d.where(X.is_filled(F.col("Email"))).select("row_id"))
 column("FIL-08", "company", "row_id", "site", lambda: X.normal_url(F.col("Hjemmeside")), f"case when {HOST_SQL.format('Hjemmeside')} = '' then null else 'https://' || {HOST_SQL.format('Hjemmeside')} || regexp_replace({PATH_SQL.format('Hjemmeside')}, '/+$', '') end", lambda: X.is_filled(F.col("Hjemmeside")) & ~F.col("Hjemmeside").rlike(r"[\s;,|<>\"]"), f"Hjemmeside is not null and not {BLANK_SQL.format('Hjemmeside')} and not regexp_matches(Hjemmeside, '[\\s;,|<>\"]')")
-column("FIL-09", "contact_candidate", "candidate_id", "bad", lambda: (F.col("site_host") == "") | F.lower("site_host").rlike(r"(\.tele\.dk|\.get2net\.dk|\.mail\.dk)$") | F.contains(F.col("site_host"), F.lit("katalog")), "site_host = '' or regexp_matches(lower(site_host), '(\\.tele\\.dk|\\.get2net\\.dk|\\.mail\\.dk)$') or contains(site_host, 'katalog')")
-on("FIL-11", "site_analysis", "select analysis_id, l as link from (select analysis_id, unnest(technical_seo.broken_links_list) as l from site_analysis) where l like 'http%' and not regexp_matches(split_part(l,'?',1), '(?i)\\.(jpg|jpeg|png|gif|webp|svg|css|js|pdf|zip|ico|woff2?|mp4)$')")(
-    lambda d: d.select("analysis_id", F.explode("technical_seo.broken_links_list").alias("link")).where(F.col("link").startswith("http") & ~X.is_asset(F.col("link")))
-)
 on("FIL-12", "site_analysis", "select analysis_id, h as href from (select analysis_id, unnest(technical_seo.discarded_links).href as h from site_analysis) where regexp_matches(split_part(h,'?',1), '(?i)\\.(jpg|jpeg|png|gif|webp|svg|css|js|pdf|zip|ico|woff2?|mp4)$')")(
     lambda d: d.select("analysis_id", F.explode("technical_seo.discarded_links").alias("l")).select("analysis_id", F.col("l.href").alias("href")).where(X.is_asset(F.col("href")))
 )
 column("FIL-15", "site_analysis", "analysis_id", "same_site", lambda: X.host(F.col("url")) == F.regexp_replace(F.lower("site_host"), r"^www\.", ""), f"{HOST_SQL.format('url')} = regexp_replace(lower(site_host), '^www\\.', '')")
-column("FIL-16", "contact_candidate", "candidate_id", "same_apex", lambda: X.apex(X.host(F.col("url"))) == X.apex(F.lower("site_host")), f"regexp_extract({HOST_SQL.format('url')}, '([^.]+\\.[^.]+)$', 1) = regexp_extract(lower(site_host), '([^.]+\\.[^.]+)$', 1)")
-on("FIL-20", "contact_candidate", "select candidate_id, e as email from (select candidate_id, unnest(emails) as e from contact_candidate) where not regexp_matches(lower(e), '@(example\\.com|test\\.dk|domain\\.com)$')")(
-    lambda d: d.select("candidate_id", F.explode("emails").alias("email")).where(~F.lower("email").rlike(r"@(example\.com|test\.dk|domain\.com)$"))
-)
 on("FIL-21", "contact_candidate", "select candidate_id, e as email, (regexp_extract(lower(e),'@([^@\\s>]+)$',1) = lower(site_host) or ends_with(regexp_extract(lower(e),'@([^@\\s>]+)$',1), '.' || lower(site_host))) as own from (select candidate_id, site_host, unnest(emails) as e from contact_candidate) where e is not null")(
     lambda d: d.select("candidate_id", "site_host", F.explode("emails").alias("email")).where("email is not null").select("candidate_id", "email", ((X.email_domain(F.col("email")) == F.lower("site_host")) | F.endswith(X.email_domain(F.col("email")), F.concat(F.lit("."), F.lower("site_host")))).alias("own"))
 )
-on("FIL-23", "contact_candidate", "select candidate_id, p as phone, regexp_matches(regexp_replace(p,'[^0-9]','','g'), '^(45)?[2-9][0-9]{7}$') as valid from (select candidate_id, unnest(phones) as p from contact_candidate) where p is not null")(
-    lambda d: d.select("candidate_id", F.explode("phones").alias("phone")).where("phone is not null").withColumn("valid", X.phone_digits(F.col("phone")).rlike("^(45)?[2-9][0-9]{7}$"))
-)
-column("FIL-24", "contact_candidate", "candidate_id", "plausible", lambda: F.coalesce(F.col("name").rlike(r"^[A-ZÆØÅ][a-zæøå]+( [A-ZÆØÅ][a-zæøå.]*){1,3}$"), F.lit(False)), "coalesce(regexp_matches(name, '^[A-ZÆØÅ][a-zæøå]+( [A-ZÆØÅ][a-zæøå.]*){1,3}$'), false)")
 column("FIL-32", "site_analysis", "analysis_id", "thin", lambda: (F.col("basic_seo.word_count") < 40) & (F.col("technical_seo.total_links_found") <= 2), "basic_seo.word_count < 40 and technical_seo.total_links_found <= 2")
 on("FIL-37", "orders", "select o_orderkey from orders where o_totalprice between least(200000.0, 100000.0) and greatest(200000.0, 100000.0) and contains(lower(o_orderpriority), 'urgent')")(
     lambda d: d.where(F.col("o_totalprice").between(F.least(F.lit(200000.0), F.lit(100000.0)), F.greatest(F.lit(200000.0), F.lit(100000.0))) & F.contains(F.lower("o_orderpriority"), F.lit("urgent"))).select("o_orderkey")
 )
 column("FIL-38", "company", "row_id", "needs_search", lambda: ~X.is_filled(F.col("Hjemmeside")), f"Hjemmeside is null or {BLANK_SQL.format('Hjemmeside')}")
-column("FIL-40", "company", "row_id", "mismatch", lambda: F.when(X.is_filled(F.col("GPlacePostnr")) & X.is_filled(F.col(ADDRESS + "postnummer")), F.col("GPlacePostnr") != F.col(ADDRESS + "postnummer")).otherwise(False), f"""case when GPlacePostnr is not null and not {BLANK_SQL.format('GPlacePostnr')} and "{ADDRESS}postnummer" is not null and not {BLANK_SQL.format(f'"{ADDRESS}postnummer"')} then GPlacePostnr <> "{ADDRESS}postnummer" else false end""")
 
 # --- rules ----------------------------------------------------------------------------------------------------------
 BOOK = [
@@ -143,8 +107,5 @@ def _points(df: DataFrame) -> dict:
     return rules.scored({k: F.col(c) for k, c in RULE_FIELDS.items()}, BOOK)
 
 
-for _id, _rule in {"RUL-01": "https", "RUL-02": "status", "RUL-03": "links", "RUL-04": "speed", "RUL-05": "words", "RUL-06": "title", "RUL-07": "banner", "RUL-08": "render", "RUL-09": "fetch", "RUL-10": "canonical"}.items():
+for _id, _rule in {"RUL-01": "https", "RUL-02": "status", "RUL-05": "words", "RUL-06": "title", "RUL-07": "banner", "RUL-09": "fetch"}.items():
     on(_id, "site_analysis", f"select analysis_id, {RULE_SQL[_rule]} as points from site_analysis")(lambda d, r=_rule: d.select("analysis_id", _points(d)[r].alias("points")))
-on("RUL-11", "site_analysis", f"select analysis_id, {RULE_SQL['speed']} as points, {RULE_SQL['speed']} > 0 as passed from site_analysis")(
-    lambda d: d.select("analysis_id", _points(d)["speed"].alias("points")).withColumn("passed", F.col("points") > 0)
-)

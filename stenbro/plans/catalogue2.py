@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stenbro.functions import text as X
 from stenbro.operators import relational as R
-from stenbro.plans.catalogue import ADDRESS, ASCII_SQL, BLANK_SQL, FORM, HOST_SQL, NAME, PATH_SQL, QUERY_SQL, column, on
+from stenbro.plans.catalogue import ASCII_SQL, BLANK_SQL, FORM, NAME, PATH_SQL, column, on
 from stenbro.queries import query
 from stenbro.session import table
 from stenbro.streaming import events as stream
@@ -32,63 +32,27 @@ def tokens(c):
 
 # --- joins ----------------------------------------------------------------------------------------------------------
 both("JOI-01", "region", "city_register", "select r_regionkey, city_id from region, city_register")(lambda a, b: a.select("r_regionkey").crossJoin(F.broadcast(b.select("city_id"))))
-both("JOI-04", "contact_candidate", "title_register", """select candidate_id, coalesce(n.k, a.k) as code from contact_candidate c left join (select lower(StillingsBetegnelseNavn) t, min(StillingsBetegnelseKode) k from title_register group by 1) n on lower(trim(c.title)) = n.t left join (select lower(Alias1) t, min(StillingsBetegnelseKode) k from title_register group by 1) a on lower(trim(c.title)) = a.t""")(
-    lambda c, t: c.select("candidate_id", F.lower(F.trim("title")).alias("t"))
-    .join(t.groupBy(F.lower("StillingsBetegnelseNavn").alias("t")).agg(F.min("StillingsBetegnelseKode").alias("n")), "t", "left")
-    .join(t.groupBy(F.lower("Alias1").alias("t")).agg(F.min("StillingsBetegnelseKode").alias("a")), "t", "left")
-    .select("candidate_id", F.coalesce("n", "a").alias("code"))
-)
-both("JOI-05", "profiles", "title_register", f"""with w as (select StillingsBetegnelseKode k, unnest({WORDS_SQL.format('Alias1')}) t from title_register), p as (select distinct profile_id, unnest({WORDS_SQL.format('headline')}) t from profiles), s as (select profile_id, k, count(*) n from p join w using (t) group by all) select profile_id, k as code, n from (select *, row_number() over (partition by profile_id order by n desc, k) r from s) where r = 1""")(
-    lambda p, t: R.first_per(
-        p.select("profile_id", F.explode(F.array_distinct(tokens(F.col("headline")))).alias("t"))
-        .join(t.select(F.col("StillingsBetegnelseKode").alias("code"), F.explode(tokens(F.col("Alias1"))).alias("t")), "t")
-        .groupBy("profile_id", "code")
-        .agg(F.count("*").alias("n")),
-        ["profile_id"],
-        [F.desc("n"), F.col("code")],
-    )
-)
 both("JOI-06", "company", "url_cache", f"""select row_id, u.url as cached_url from company c left join url_cache u on u.normalized_key = regexp_replace({ASCII_SQL.format(f'''lower(regexp_replace("{NAME}", '(?i)\\s+(aps|a/s|i/s|k/s|ivs|p/s)\\.?$', ''))''')}, '[^a-z0-9]', '', 'g')""")(
     lambda c, u: c.select("row_id", X.company_key(F.col(NAME)).alias("normalized_key")).join(u.select("normalized_key", F.col("url").alias("cached_url")), "normalized_key", "left").select("row_id", "cached_url")
 )
 both("JOI-08", "contact_candidate", "company", """select candidate_id from contact_candidate c where exists (select 1 from company k where lower(trim(k."Direktørnavn")) = lower(trim(c.name)))""")(
     lambda c, k: c.select("candidate_id", F.lower(F.trim("name")).alias("n")).join(k.select(F.lower(F.trim("Direktørnavn")).alias("n")), "n", "left_semi").select("candidate_id")
 )
-both("JOI-12", "documents", "city_register", f"""with d as (select doc_id, unnest({WORDS_SQL.format('text')}) t from documents where length(text) < 300) select doc_id, count(*) as n from d where t not in (select unnest({WORDS_SQL.format('by_navn')}) from city_register) group by 1""")(
-    lambda d, c: d.select("doc_id", F.explode(tokens(F.col("text"))).alias("t")).join(F.broadcast(c.select(F.explode(tokens(F.col("by_navn"))).alias("t")).distinct()), "t", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
-)
 both("JOI-13", "profiles", "contact_candidate", "select profile_id from profiles p where fullname is not null and not exists (select 1 from contact_candidate c where c.name = p.fullname)")(
     lambda p, c: p.where("fullname is not null").join(c.select(F.col("name").alias("fullname")), "fullname", "left_anti").select("profile_id")
 )
-both("JOI-17", "url_cache", "site_analysis", f"""select cache_id, analysis_id from (select cache_id, analysis_id, row_number() over (partition by cache_id order by fetched_at desc, analysis_id) r from (select cache_id, {HOST_SQL.format('url')} as h from url_cache) u join site_analysis s on s.site_host = u.h) where r = 1""")(
-    lambda u, s: R.first_per(u.select("cache_id", X.host(F.col("url")).alias("site_host")).join(s.select("site_host", "analysis_id", "fetched_at"), "site_host"), ["cache_id"], [F.desc("fetched_at"), F.col("analysis_id")]).select("cache_id", "analysis_id")
-)
 
 # --- aggregates -----------------------------------------------------------------------------------------------------
 on("AGG-01", "url_cache", "select method, count(*) as n from url_cache group by 1")(lambda d: d.groupBy("method").agg(F.count("*").alias("n")))
 on("AGG-02", "company", f"""select form, n from (select coalesce("{FORM}",'') as form, count(*) as n from company group by 1) order by n desc, form limit 5""")(
     lambda d: d.groupBy(F.coalesce(F.col(FORM), F.lit("")).alias("form")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(5)
 )
-on("AGG-03", "company", f"select count(*) as n, count(*) filter (where Hjemmeside is not null and not {BLANK_SQL.format('Hjemmeside')}) as with_site, count(*) filter (where Email is null or {BLANK_SQL.format('Email')}) as without_email from company")(
-    lambda d: d.agg(F.count("*").alias("n"), F.count_if(X.is_filled(F.col("Hjemmeside"))).alias("with_site"), F.count_if(~X.is_filled(F.col("Email"))).alias("without_email"))
-)
 on("AGG-04", "contact_candidate", "select source, dom_distance, count(*) as n from contact_candidate group by grouping sets ((source), (dom_distance))")(
     lambda d: d.groupingSets([[F.col("source")], [F.col("dom_distance")]], "source", "dom_distance").agg(F.count("*").alias("n"))
 )
 on("token_df", "company", f"""select token, df from (select token, count(*) as df from (select distinct row_id, unnest({WORDS_SQL.format(f'"{NAME}"')}) as token from company) group by 1) where df >= 2""")(
     lambda d: R.document_frequency(d, "row_id", tokens(F.col(NAME))).where("df >= 2")
 )
-on("AGG-06", "site_analysis", f"""select site_host, token, n from (select *, row_number() over (partition by site_host order by n desc, token) r from (select site_host, token, sum(w) as n from (select site_host, unnest({WORDS_SQL.format('basic_seo.title_text')}) as token, 3 as w from site_analysis union all select site_host, unnest({WORDS_SQL.format('basic_seo.meta_description')}) as token, 2 as w from site_analysis) group by all)) where r <= 10""")(
-    lambda d: R.top_per(
-        d.select("site_host", F.explode(tokens(F.col("basic_seo.title_text"))).alias("token"), F.lit(3).alias("w"))
-        .unionByName(d.select("site_host", F.explode(tokens(F.col("basic_seo.meta_description"))).alias("token"), F.lit(2).alias("w")))
-        .groupBy("site_host", "token")
-        .agg(F.sum("w").alias("n")),
-        ["site_host"],
-        [F.desc("n"), F.col("token")],
-        10,
-    ).drop("pos")
-)
 on("AGG-08", "site_analysis", "select site_host, max(fetched_at) as latest from site_analysis group by 1")(lambda d: d.groupBy("site_host").agg(F.max("fetched_at").alias("latest")))
 on("AGG-09", "site_analysis", "select site_host, floor(sum(basic_seo.word_count) / count(basic_seo.word_count))::bigint as mean_words from site_analysis group by 1")(
     lambda d: d.groupBy("site_host").agg(F.floor(F.sum("basic_seo.word_count") / F.count("basic_seo.word_count")).cast("bigint").alias("mean_words"))
@@ -96,12 +60,6 @@ on("AGG-09", "site_analysis", "select site_host, floor(sum(basic_seo.word_count)
 on("AGG-10", "site_analysis", "select analysis_id, case when technical_seo.links_checked > 0 then round(100.0 * technical_seo.broken_links_count / technical_seo.links_checked, 1)::double else 0.0::double end as pct from site_analysis")(
     lambda d: d.select("analysis_id", F.when(F.col("technical_seo.links_checked") > 0, F.round(F.lit(100.0) * F.col("technical_seo.broken_links_count") / F.col("technical_seo.links_checked"), 1)).otherwise(0.0).alias("pct"))
 )
-on("AGG-13", "contact_candidate", "select site_host, name, array_to_string(list_sort(list_distinct(flatten(list(emails)))), '; ') as emails, min(dom_distance) as dom_distance from contact_candidate where name is not null and name <> '' group by 1, 2")(
-    lambda d: R.folded(d.where("name <> ''"), ["site_host", "name"], {}, ["emails"], ["dom_distance"], F.col("candidate_id")).withColumn("emails", F.array_join("emails", "; "))
-)
-on("AGG-17", "company", "select avg(case when regexp_matches(Hjemmeside, '(https?://|www\\.)') then 1.0 else 0.0 end)::double as site_share, avg(case when regexp_matches(Email, '(https?://|www\\.)') then 1.0 else 0.0 end)::double as email_share from company")(
-    lambda d: d.agg(*[F.avg(F.when(F.col(c).rlike(r"(https?://|www\.)"), 1.0).otherwise(0.0)).alias(n) for c, n in (("Hjemmeside", "site_share"), ("Email", "email_share"))])
-)
 on("AGG-21", "contact_candidate", "select site_host, array_to_string(list_sort(list_distinct(list(source))), '; ') as sources from contact_candidate group by 1")(
     lambda d: d.groupBy("site_host").agg(F.array_join(F.array_sort(F.collect_set("source")), "; ").alias("sources"))
 )
@@ -113,9 +71,6 @@ on("AGG-22", "title_register", f"select distinct StillingsBetegnelseKode as code
 on("WIN-01", "contact_candidate", "select candidate_id, site_host, name from (select *, row_number() over (partition by site_host, name order by candidate_id) r from contact_candidate) where r = 1")(
     lambda d: R.first_per(d.select("candidate_id", "site_host", "name"), ["site_host", "name"], [F.col("candidate_id")])
 )
-on("WIN-02", "contact_candidate", "select site_host, right(regexp_replace(phone,'[^0-9]','','g'), 8) as last8, min(phone) as phone from (select site_host, unnest(phones) as phone from contact_candidate) where phone is not null group by 1, 2")(
-    lambda d: d.select("site_host", F.explode("phones").alias("phone")).where("phone is not null").groupBy("site_host", X.phone_key(F.col("phone")).alias("last8")).agg(F.min("phone").alias("phone"))
-)
 on("WIN-03", "site_analysis", "select site_host, analysis_id from (select *, row_number() over (partition by site_host order by conversion.cta_score desc nulls last, analysis_id) r from site_analysis) where r = 1")(
     lambda d: R.first_per(d.select("site_host", "analysis_id", F.col("conversion.cta_score").alias("s")), ["site_host"], [F.desc_nulls_last("s"), F.col("analysis_id")]).drop("s")
 )
@@ -146,39 +101,22 @@ column("SET-04", "site_analysis", "analysis_id", "differ", lambda: F.coalesce("c
 # --- scalar functions -----------------------------------------------------------------------------------------------
 column("TXT-01", "url_cache", "cache_id", "t", lambda: X.collapse(F.col("title")), "trim(regexp_replace(title, '\\s+', ' ', 'g'))")
 column("TXT-03", "url_cache", "cache_id", "t", lambda: F.array_join(tokens(F.col("title")), "|"), f"array_to_string({WORDS_SQL.format('title')}, '|')")
-column("TXT-04", "city_register", "city_id", "t", lambda: X.danish_ascii(F.col("by_navn")), ASCII_SQL.format("by_navn"))
 column("TXT-05", "company", "row_id", "k", lambda: X.company_key(F.col(NAME)), f"""regexp_replace({ASCII_SQL.format(f'''lower(regexp_replace("{NAME}", '(?i)\\s+(aps|a/s|i/s|k/s|ivs|p/s)\\.?$', ''))''')}, '[^a-z0-9]', '', 'g')""")
 column("TXT-06", "contact_candidate", "candidate_id", "n", lambda: F.lower(X.collapse(F.col("name"))), "lower(trim(regexp_replace(name, '\\s+', ' ', 'g')))")
 on("TXT-12", "company", "select row_id, unnest(regexp_extract_all(Email, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as email from company")(
     lambda d: d.select("row_id", F.explode(F.regexp_extract_all("Email", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))).alias("email"))
 )
 column("TXT-14", "documents", "doc_id", "t", lambda: F.regexp_replace(F.regexp_replace(F.col("text"), r"(?i)\s*[\[(](at|snabel-a)[\])]\s*", "@"), r"(?i)\s*[\[(](dot|punktum)[\])]\s*", "."), "regexp_replace(regexp_replace(text, '(?i)\\s*[\\[(](at|snabel-a)[\\])]\\s*', '@', 'g'), '(?i)\\s*[\\[(](dot|punktum)[\\])]\\s*', '.', 'g')")
-on("TXT-17", "contact_candidate", "select candidate_id, e as email, lower(split_part(e,'@',1)) in ('info','kontakt','kontor','mail','post','salg','ordre','firma','bogholderi') as generic from (select candidate_id, unnest(emails) as e from contact_candidate) where e is not null")(
-    lambda d: d.select("candidate_id", F.explode("emails").alias("email")).where("email is not null").withColumn("generic", X.is_generic_box(F.col("email")))
-)
-column("TXT-18", "company", "row_id", "kind", lambda: F.when(F.contains(F.col("Telefon"), F.lit("@")), "email").when(F.length(X.phone_digits(F.col("Telefon"))) >= 8, "phone").otherwise("other"), "case when contains(Telefon,'@') then 'email' when length(regexp_replace(Telefon,'[^0-9]','','g')) >= 8 then 'phone' else 'other' end")
 column("TXT-19", "company", "row_id", "e164", lambda: X.phone_e164(F.col("Telefon")), "case when length(regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','')) = 8 then '+45' || regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','') when length(regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','')) between 9 and 15 then '+' || regexp_replace(regexp_replace(Telefon,'[^0-9]','','g'),'^00','') end")
 column("TXT-20", "company", "row_id", "last8", lambda: X.phone_key(F.col("Telefon")), "right(regexp_replace(Telefon,'[^0-9]','','g'), 8)")
 column("count_service", "documents", "doc_id", "n", lambda: X.count_of(F.lower("text"), "service"), "((length(lower(text)) - length(replace(lower(text),'service',''))) / 7)::int")
 column("TXT-27", "documents", "doc_id", "words", lambda: F.size(F.filter(F.split(F.trim("text"), "[ \\n\\t\\r]+"), lambda t: t != "")), "len(list_filter(regexp_split_to_array(trim(text), '[ \\n\\t\\r]+'), lambda x: x <> ''))", lambda: F.col("text").isNotNull(), "text is not null")
-column("TXT-28", "documents", "doc_id", "plain", lambda: F.regexp_replace("text", "<[^<>]*>", ""), "regexp_replace(text, '<[^<>]*>', '', 'g')")
-column("TXT-31", "company", "row_id", "first_director", lambda: F.trim(F.split(X.filled(F.col("Direktørnavn")), "[;,]")[0]), f"""case when "Direktørnavn" is not null and not {BLANK_SQL.format('"Direktørnavn"')} then trim(regexp_split_to_array("Direktørnavn", '[;,]')[1]) end""")
 column("emails_redacted", "documents", "doc_id", "t", lambda: X.redacted(F.col("text")), "regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g')")
 column("text_md5", "documents", "doc_id", "h", lambda: F.md5("text"), "md5(text)")
-column("URL-04", "contact_candidate", "candidate_id", "h", lambda: X.host(F.col("url")), HOST_SQL.format("url"))
-column("URL-06", "contact_candidate", "candidate_id", "u", lambda: X.without_tracking(F.col("url")), f"""regexp_extract(url, '^([^?#]*)', 1) || case when len(list_filter(string_split({QUERY_SQL.format('url')}, '&'), lambda p: p <> '' and split_part(p,'=',1) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref'))) > 0 then '?' || array_to_string(list_filter(string_split({QUERY_SQL.format('url')}, '&'), lambda p: p <> '' and split_part(p,'=',1) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref')), '&') else '' end""")
 column("URL-13", "url_cache", "cache_id", "u", lambda: F.when(F.col("url").startswith("ttps://"), F.concat(F.lit("h"), F.col("url"))).when(F.col("url").startswith("//"), F.concat(F.lit("https:"), F.col("url"))).when(~F.contains(F.col("url"), F.lit("://")), F.concat(F.lit("https://"), F.col("url"))).otherwise(F.col("url")), "case when starts_with(url,'ttps://') then 'h' || url when starts_with(url,'//') then 'https:' || url when not contains(url,'://') then 'https://' || url else url end")
-on("URL-14", "site_analysis", "select reason, count(*) as n from (select unnest(technical_seo.discarded_links).reason as reason from site_analysis) group by 1")(
-    lambda d: d.select(F.explode("technical_seo.discarded_links").alias("l")).groupBy(F.col("l.reason").alias("reason")).agg(F.count("*").alias("n"))
-)
-column("DAT-01", "profiles", "profile_id", "created", lambda: F.timestamp_millis("created_timestamp"), "make_timestamp(created_timestamp * 1000)")
 column("DAT-06", "site_analysis", "analysis_id", "days", lambda: X.floor_days(F.col("ingested_at"), F.col("fetched_at")), "floor((epoch(date_trunc('second', ingested_at)) - epoch(date_trunc('second', fetched_at))) / 86400)::bigint")
-column("DAT-07", "site_analysis", "analysis_id", "fresh", lambda: F.datediff(F.lit("2026-01-01").cast("date"), F.col("fetched_at")) <= 90, "date_diff('day', fetched_at::date, date '2026-01-01') <= 90")
 column("MTH-01", "orders", "o_orderkey", "scaled", lambda: F.bround(F.least(F.greatest(F.col("o_totalprice") / 5000, F.lit(0.0)), F.lit(50.0)), 2), "round_even(least(greatest(o_totalprice / 5000, 0.0), 50.0), 2)")
-column("MTH-07", "site_analysis", "analysis_id", "cta", lambda: F.least(F.col("conversion.cta_score") + F.when(F.col("conversion.has_ga4"), 20).otherwise(0), F.lit(100)), "least(conversion.cta_score + case when conversion.has_ga4 then 20 else 0 end, 100)", lambda: F.col("conversion.cta_score").isNotNull(), "conversion.cta_score is not null")
-column("ARR-01", "site_analysis", "analysis_id", "most", lambda: F.array_max("conversion.form_field_counts"), "list_max(conversion.form_field_counts)")
 column("ARR-02", "contact_candidate", "candidate_id", "joined", lambda: F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct("emails")), "; "), F.lit("")), F.lit("N/A")), "coalesce(nullif(array_to_string(list_sort(list_distinct(emails)), '; '), ''), 'N/A')")
-on("ARR-03", "contact_candidate", "select candidate_id, unnest(map_keys(hints)) as k, unnest(map_values(hints)) as v from contact_candidate")(lambda d: d.select("candidate_id", F.explode("hints").alias("k", "v")))
 column("fetch_method", "analysis_raw", "analysis_id", "method", lambda: F.coalesce(F.get_json_object("payload", "$.analysis.fetch_method"), F.get_json_object("payload", "$.fetch_method")), "coalesce(payload->>'$.analysis.fetch_method', payload->>'$.fetch_method')", lambda: F.try_parse_json("payload").isNotNull(), "payload is not null and json_valid(payload)")
 on("STR-01", "events", "select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by all")(lambda d: stream.windowed_counts(d, "ts", "event_type"))
 on("user_events_once", "events", "select user_id, event_type from (select distinct user_id, event_type from events)")(lambda d: stream.without_repeats(d.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts").select("user_id", "event_type"))
@@ -187,7 +125,5 @@ both("names_per_site", "contact_candidate", "profiles", "select site_host, count
 )
 
 # --- without SQL: held against the same in plain Python -------------------------------------------------------------
-query("AGG-05")(lambda spark, sf_dir: R.frequent_tokens(table(spark, sf_dir, "company"), "row_id", X.brand_tokens(F.col(NAME))))
 query("TXT-25")(lambda spark, sf_dir: R.keyword_scores(table(spark, sf_dir, "documents"), "doc_id", "site_host", "text"))
 query("TXT-35")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", X.sanitised(F.col("text")).alias("t")))
-query("TXT-39")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in X.fingerprints(F.col("text"), F.col("url")).items()]))

@@ -16,8 +16,8 @@ from stenbro.functions import web as W
 from stenbro.operators import html as H
 from stenbro.operators import relational as R
 from stenbro.operators import rules
-from stenbro.plans.catalogue import ADDRESS, BLANK_SQL, NAME, column, on
-from stenbro.plans.catalogue2 import both, tokens
+from stenbro.plans.catalogue import BLANK_SQL, NAME, column, on
+from stenbro.plans.catalogue2 import both
 from stenbro.queries import query
 from stenbro.session import scratch, table
 from stenbro.sources import files
