@@ -1,6 +1,7 @@
 """Several values packed in one field: one row per value, with its position.
 
-Quoted and bracketed spans may hold delimiters of their own. They are taken out first: each span is replaced with an
+Spans in double quotes or angle brackets may hold delimiters of their own (single quotes are apostrophes as often as
+quotes, so they are no spans). They are taken out first: each span is replaced with an
 indexed placeholder, the rest is split at the delimiters, and the spans are put back by array lookup. The placeholder
 marks are themselves treated as spans wherever a value holds them already, so a placeholder can't be mistaken.
 

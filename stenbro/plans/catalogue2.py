@@ -31,7 +31,7 @@ def tokens(c):
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
-both("JOI-01", "region", "city_register", "select r_regionkey, city_id from region, city_register")(lambda a, b: a.select("r_regionkey").crossJoin(F.broadcast(b.select("city_id"))))
+both("JOI-01", "region", "city_register", "select r_regionkey, city_id from region, city_register")(lambda a, b: a.select("r_regionkey").crossJoin(b.select("city_id")))
 both("JOI-06", "company", "url_cache", f"""select row_id, u.url as cached_url from company c left join url_cache u on u.normalized_key = regexp_replace({ASCII_SQL.format(f'''lower(regexp_replace("{NAME}", '(?i)\\s+(aps|a/s|i/s|k/s|ivs|p/s)\\.?$', ''))''')}, '[^a-z0-9]', '', 'g')""")(
     lambda c, u: c.select("row_id", X.company_key(F.col(NAME)).alias("normalized_key")).join(u.select("normalized_key", F.col("url").alias("cached_url")), "normalized_key", "left").select("row_id", "cached_url")
 )
